@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import pairs, splitting, survivors
+from graphloom.llm import leakage, mixing, pairs, splitting, survivors
+from graphloom.llm.tokens import count_tokens
 from graphloom.session import read_table
 
 
@@ -64,12 +65,37 @@ def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("group_id", "n_records", "confidence", "summary", "evidence", "source_refs")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the items."""
+    return leakage.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = read_table(spark, folder, "documents")
+    counted = documents.select("doc_id", mixing.source_key(F.col("source")).alias("source"), count_tokens(F.col("text")).alias("n_tokens"))
+    targets = read_table(spark, folder, "mix_targets").withColumn("source", mixing.source_key(F.col("source")))
+    return mixing.mix(counted, targets)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in the mixture."""
+    return _mixed(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in the mixture."""
+    return _mixed(spark, folder)[1]
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
+    "p6_found": p6_found,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 
 SQL: dict[str, str] = {}
