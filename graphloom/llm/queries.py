@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leakage, mixing, pairs, splitting, survivors
+from graphloom.llm import leakage, mixing, pairs, pii, splitting, survivors
 from graphloom.llm.tokens import count_tokens
 from graphloom.session import read_table
 
@@ -87,6 +87,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mention of personal information in documents, with its type and place."""
+    return pii.mentions(read_table(spark, folder, "documents"))
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with placeholders for personal information."""
+    return pii.redacted(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -96,6 +106,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 SQL: dict[str, str] = {}
