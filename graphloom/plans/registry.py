@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import integrity
+from graphloom.plans import integrity, knowledge
 
-_MODULES = [integrity]
+_MODULES = [integrity, knowledge]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
