@@ -17,12 +17,11 @@ def _split(spark: SparkSession, folder: str) -> DataFrame:
     blocks = blocks.dropDuplicates(["block_id"])
     key = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     options = read_table(spark, folder, "pipeline_options").groupBy(key(F.col("profile_id")).alias("_profile")).agg(F.max(F.struct("target_tokens", "overlap_tokens")).alias("_o"))
-    fallback = options.filter("_profile = 'default'").select(F.col("_o").alias("_d"))
+    default = options.filter("_profile = 'default'").select("_o.*").first()
     # pipeline_options is a fixed table of profiles
     profile = F.coalesce(F.nullif(key(F.col("profile_id")), F.lit("")), F.lit("default"))
-    joined = blocks.withColumn("_profile", profile).join(F.broadcast(options), "_profile", "left").join(F.broadcast(fallback), F.lit(True), "left")
-    limit = F.coalesce(F.col("_o.target_tokens"), F.col("_d.target_tokens"))
-    lap = F.coalesce(F.col("_o.overlap_tokens"), F.col("_d.overlap_tokens"))
+    joined = blocks.withColumn("_profile", profile).join(F.broadcast(options), "_profile", "left")
+    limit, lap = (F.coalesce(F.col(f"_o.{c}"), F.lit(default[c] if default else None)) for c in ("target_tokens", "overlap_tokens"))
     return splitting.split_blocks(joined, "text", limit, lap)
 
 
