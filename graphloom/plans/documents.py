@@ -1,0 +1,96 @@
+"""Queries over extraction, packages and notes, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.containers import KeyedSet
+from graphloom.functions import text
+from graphloom.operators import extract, search
+from graphloom.plans.integrity import _TREE, _clean, current_outlines
+from graphloom.session import read_table
+from graphloom.sources import packages, vault
+from graphloom.streaming.incremental import windowed_counts
+
+
+def extract_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Term nodes of all documents with the number of documents that name them."""
+    found = extract.extract(read_table(spark, folder, "documents"), ["doc_id"], "text", extract.term_nodes, extract.NODE)
+    return found.filter("error is null").groupBy("name").agg(F.count_distinct("doc_id").alias("n_documents"))
+
+
+def extract_term_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between terms, two-stage, merged by ends with their number of mentions."""
+    chunks = read_table(spark, folder, "documents").select("doc_id", "text")
+    _, edges = extract.extract_graph(chunks, ["doc_id"], "text", extract.TERMS)
+    return edges.filter("error is null").groupBy("source", "target", "edge_type").agg(F.count(F.lit(1)).alias("n_mentions"))
+
+
+def parse_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """What JSON each model answer holds."""
+    rows = read_table(spark, folder, "generation_responses").dropDuplicates(["response_id"]).select("response_id", F.col("final_text").alias("answer"))
+    parsed = extract.parse_records(rows, "answer", "nodes array<struct<name: string, summary: string, confidence: double>>, edges array<struct<name: string>>, answer string, error string")
+    return parsed.groupBy("state").agg(F.count(F.lit(1)).alias("n_answers"))
+
+
+def package_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    contents = read_table(spark, folder, "package_contents").dropDuplicates(["content_key"]).filter("deleted_at is null")
+    now = current_outlines(spark, folder).select("package_id", "id", F.col("parent").alias("parent_id"), "title")
+    provenance = read_table(spark, folder, "provenance").dropDuplicates(["prov_id"])
+    out = packages.package_blocks(contents, now, provenance)
+    return out.select("package_id", "content_id", "top_level_id", F.array_join("outline_path", " > ").alias("outline_path"), F.size("source_refs").alias("n_refs"))
+
+
+def package_validation(spark: SparkSession, folder: str) -> DataFrame:
+    contents = read_table(spark, folder, "package_contents").dropDuplicates(["content_key"])
+    now = current_outlines(spark, folder).select("package_id", "id", F.col("parent").alias("parent_id"), "depth")
+    return packages.validate(contents, now)
+
+
+def vault_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes of the shared concepts and the links that edges make between them."""
+    nodes = read_table(spark, folder, "concept_registry").select("node_id", "node_name", "domain")
+    edges = read_table(spark, folder, "course_edges").select("source", "target", "edge_type")
+    files = vault.notes(nodes, edges, "node_id", "node_name", ["node_id", "domain"])
+    return vault.manifest(files)
+
+
+def note_names(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = read_table(spark, folder, "course_nodes").groupBy("record_id").agg(F.first("node_name").alias("node_name"))
+    return vault.note_stems(nodes, "record_id", "node_name").select("record_id", "stem")
+
+
+def set_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The concepts nearest to a phrase, from a keyed set with its index."""
+    rows = read_table(spark, folder, "concept_registry").withColumn("seq", F.col("node_id"))
+    items = KeyedSet.of(rows, "node_id").build_index(["node_name"])
+    return items.search("blood culture", 5).select("node_id", "node_name", F.round("distance", 4).alias("distance"))
+
+
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windowed_counts(read_table(spark, folder, "events"), "ts", "10 minutes", "1 hour", ["event_type"])
+
+
+def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the same text: one row per document with its class and the class's size."""
+    d = read_table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    classes = d.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return d.join(classes, "digest").select("doc_id", "class_id", "class_size")
+
+
+QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates)}
+
+SQL = {
+    "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS class_size FROM documents",
+    "package_blocks": _TREE
+    + f""", titles AS (SELECT {_clean("package_id")} AS pkg, {_clean("id")} AS nid, arg_max(title, updated_at) AS title FROM outlines GROUP BY 1, 2),
+         refs AS (SELECT {_clean("package_id")} AS pkg, {_clean("content_id")} AS cid, count(DISTINCT r.ref) AS n FROM (SELECT package_id, content_id, unnest(source_refs) AS r FROM provenance) GROUP BY 1, 2),
+         paths(pkg, nid, path, top) AS (
+           SELECT c.pkg, c.nid, t.title, NULL::VARCHAR FROM status c JOIN titles t ON t.pkg = c.pkg AND t.nid = c.nid WHERE c.status = 'ok' AND c.parent IS NULL
+           UNION ALL SELECT s.pkg, s.nid, p.path || ' > ' || t.title, coalesce(p.top, s.nid) FROM paths p JOIN status s ON s.pkg = p.pkg AND s.parent = p.nid JOIN titles t ON t.pkg = s.pkg AND t.nid = s.nid WHERE s.status = 'ok')
+         SELECT c.package_id, c.content_id, CASE WHEN p.nid IS NOT NULL THEN coalesce(p.top, p.nid) END AS top_level_id, p.path AS outline_path, coalesce(r.n, 0) AS n_refs
+         FROM (SELECT DISTINCT ON (content_key) * FROM package_contents) c LEFT JOIN paths p ON p.pkg = {_clean("c.package_id")} AND p.nid = {_clean("c.outline_id")}
+         LEFT JOIN refs r ON r.pkg = {_clean("c.package_id")} AND r.cid = {_clean("c.content_id")} WHERE c.deleted_at IS NULL AND c.extract_flag""",
+}
