@@ -18,6 +18,7 @@ from graphloom.operators import graphs, lists, sets
 from graphloom.operators.extract import GraphExtractors, extract_graph
 from graphloom.operators.merge import keyed_merge
 from graphloom.operators.search import context_text, search
+from graphloom.session import cut_lineage
 
 
 def _index(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -200,7 +201,7 @@ class Graph:
     def of(cls, nodes: DataFrame, edges: DataFrame, **options: object) -> Graph:
         """Node and edge rows (with seq) merged by key; edges with an unknown end are dropped after that."""
         shell = cls(nodes, edges, **options)  # type: ignore[arg-type]
-        return replace(shell, nodes=shell._merge_nodes(nodes), edges=shell._merge_edges(edges)).prune()
+        return replace(shell, nodes=cut_lineage(shell._merge_nodes(nodes)), edges=shell._merge_edges(edges)).prune()
 
     def _merge_nodes(self, rows: DataFrame) -> DataFrame:
         keyed = rows.withColumn("_key", key_template(self.node_key)).filter("trim(_key) <> ''")
@@ -217,13 +218,13 @@ class Graph:
             kept = graphs.prune_hyperedges(self.edges, self.nodes, "_key", "_key", "members")
         else:
             kept = graphs.prune_edges(self.edges, self.nodes, "_key")
-        return replace(self, edges=kept, indexes=(None, None))
+        return replace(self, edges=cut_lineage(kept), indexes=(None, None))
 
     def __add__(self, other: Graph) -> Graph:
         both = lambda a, b: a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
         nodes = keyed_merge(both(self.nodes, other.nodes), ["_key"], ["_side", "seq"], self.strategy).drop("_side")
         edges = keyed_merge(both(self.edges, other.edges), ["_key"], ["_side", "seq"], self.strategy).drop("_side")
-        return replace(self, nodes=nodes, edges=edges).prune()
+        return replace(self, nodes=cut_lineage(nodes), edges=edges).prune()
 
     def feed(self, chunks: DataFrame, key: list[str], text: str, extractors: GraphExtractors, two_stage: bool = True, context: list[str] | None = None) -> Graph:
         """This graph with what the extractors find in more chunks."""

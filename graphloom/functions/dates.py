@@ -32,4 +32,5 @@ def parse_time(text: Column, fallback: Column) -> Column:
 
 def percent(done: Column, total: Column) -> Column:
     """100 done / total within 0 and 100, to two places; null for no total."""
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_divide(done * 100.0, total))), 2)
+    share = F.try_divide(done * 100.0, total)
+    return F.when(share.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)), 2))

@@ -67,12 +67,17 @@ def common_suffix_length(a: Column, b: Column) -> Column:
     return F.aggregate(at, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.right(a, i) == F.right(b, i)) & (F.length(a) >= i) & (F.length(b) >= i), i).otherwise(n))
 
 
+def _gram(text: Column, n: int):
+    # a function of one argument: Spark would hand a second one the index
+    return lambda i: F.substring(text, i, F.lit(n))
+
+
 def ngrams(text: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """Distinct letter n-grams of text for the given sizes."""
     parts = []
     for n in sizes:
         starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        parts.append(F.when(F.length(text) >= n, F.transform(starts, lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(F.length(text) >= n, F.transform(starts, _gram(text, n))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.concat(*parts))
 
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.lookup import hot_keys, lookup_inner
+from graphloom.operators.lookup import known_hot, lookup_inner
 from graphloom.session import cut_lineage
 
 
 def prune_edges(edges: DataFrame, keys: DataFrame, key: str, source: str = "source", target: str = "target") -> DataFrame:
     """Edges both of whose ends are among keys; null ends are in none.
 
-    keys is made distinct, so each end is a lookup of many rows in one row per key: hot ends, such as
-    a node that a tenth of all edges points to, are broadcast, the others shuffled.
+    keys is made distinct, so each end is a lookup of many rows in one row per key; hot ends, such as
+    a node that a tenth of all edges points to, are counted first and spread by salts.
     """
     known = keys.select(key).filter(F.col(key).isNotNull()).distinct()
     for end in (source, target):
-        edges = lookup_inner(edges, known.withColumnRenamed(key, end), [end]).select(*edges.columns)
+        edges = lookup_inner(edges, known.withColumnRenamed(key, end), [end], known_hot(edges, [end])).select(*edges.columns)
     return edges
 
 
@@ -71,7 +71,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut_lineage(both.filter(F.col("src") != F.col("dst")).distinct())
     labels = cut_lineage(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("label")))
-    hot = cut_lineage(hot_keys(both, ["dst"]))
+    hot = known_hot(both, ["dst"])
     while True:
         near = lookup_inner(both, labels.withColumnsRenamed({"id": "dst"}), ["dst"], hot)
         near = near.groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_lineage
+
 #: At most so many hot keys are broadcast, and none with fewer rows than HOT_ROWS counts as hot.
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
+#: Partitions over which a hot key is spread.
+SALTS = 32
 
 
 def hot_keys(
@@ -27,18 +31,29 @@ def hot_keys(
     )
 
 
+def known_hot(rows: DataFrame, keys: list[str], most: int = HOT_KEYS, least_rows: int = HOT_ROWS) -> DataFrame | None:
+    """hot_keys as a small table of its own, computed now; None where no key is hot."""
+    hot = cut_lineage(hot_keys(rows, keys, most, least_rows))
+    return hot if hot.take(1) else None
+
+
 def lookup_inner(
-    rows: DataFrame, by_key: DataFrame, keys: list[str], hot: DataFrame | None = None
+    rows: DataFrame, by_key: DataFrame, keys: list[str], hot: DataFrame | None = None, salts: int = SALTS
 ) -> DataFrame:
     """rows ⋈ by_key on keys; by_key has one row per key, null keys match nothing.
 
-    Rows of hot keys take a broadcast join with at most HOT_KEYS rows of by_key; only the other rows
-    are shuffled, where no key holds more than a bounded share. `hot` may bring the keys counted
-    elsewhere (columns keys); all joins are inner, so no row is lost or doubled.
+    With `hot` (columns keys, at most HOT_KEYS rows, see known_hot) the rows of hot keys are spread over
+    `salts` partitions each, and only their few rows of by_key are repeated; every other key stays
+    whole. Without it the join is plain, and adaptive execution splits a partition that turns out
+    skewed. No row is lost or doubled either way.
     """
-    hot = hot_keys(rows, keys) if hot is None else hot
-    few = F.broadcast(hot.select(*keys))
-    hot_side = F.broadcast(by_key.join(few, keys, "left_semi"))
-    head = rows.join(hot_side, keys, "inner")
-    tail = rows.join(few, keys, "left_anti").join(by_key, keys, "inner")
-    return head.unionByName(tail)
+    if hot is None:
+        return rows.join(by_key, keys, "inner")
+    few = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
+    # a salt by the row's own content stays the same when a lost task is run again
+    content = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*content), F.lit(salts)).cast("int")).otherwise(0)
+    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(few, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = by_key.join(few, keys, "left").withColumn("_salt", F.explode(all_salts)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], "inner").drop("_salt")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._graphloom_shipped = True
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of `folder`."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
