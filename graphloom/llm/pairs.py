@@ -140,11 +140,33 @@ def bare(text: str | None) -> str:
     return _LABEL.sub("", t).strip().strip("*_`\"“”„«»'‘’ \t\r\n")
 
 
-def is_empty(text: str | None) -> bool:
-    said = re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", bare(text)).lower()).strip()
+def _says_nothing(text: str) -> bool:
+    said = re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", text).lower()).strip()
     return not said or said in NOTHING or said.replace(" ", "/") in NOTHING
 
 
+def _leaves(value: object) -> Iterator[object]:
+    if isinstance(value, dict):
+        value = list(value.values())
+    if isinstance(value, list):
+        for x in value:
+            yield from _leaves(x)
+    elif value is not None:
+        yield value
+
+
+def is_empty(text: str | None) -> bool:
+    """No content, whatever stands in its place. JSON has content if one of its values has; JSON that
+    breaks off after a key has begun an answer."""
+    whole = unfence(_INVISIBLE.sub("", text or ""))[0]
+    if whole[:1] in ("{", "["):
+        try:
+            return all(isinstance(x, str) and _says_nothing(x) for x in _leaves(json.loads(whole)))
+        except ValueError:
+            return _says_nothing(bare(text)) and not re.search(r'"\s*:', whole)
+    return _says_nothing(bare(text))
+
+
 def is_copy(prompt: list[str], answer: list[str]) -> bool:
     """The answer is the prompt, or nearly all of it, once or several times, and nothing else."""
     if not prompt or not answer or len(answer) < 0.8 * len(prompt):

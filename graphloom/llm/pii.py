@@ -76,6 +76,10 @@ class Model:
         self.weights, self.background, self.first, self.last, self.given = weights, background, first, last, given
         self.zh_name = re.compile(rf"[{SURNAMES}](?:[{''.join(sorted(given)) or '一'}]{{1,2}}|[{_HAN}]{{1,2}}(?=老师|先生|女士|同志|教授|医生|，电话|，身份证|陈述，|主持，|负责记录))")
 
+    def parts(self) -> tuple[dict[str, float], set[str], set[str], set[str], set[str]]:
+        """What the model consists of: some 150 KB, to be sent to the executors."""
+        return self.weights, self.background, self.first, self.last, self.given
+
     def save(self, path: Path = MODEL_PATH) -> None:
         path.write_text(
             json.dumps(
@@ -305,8 +309,10 @@ def mentions(documents: DataFrame, model_path: str = str(MODEL_PATH)) -> DataFra
     document is given twice.
     """
 
+    kept = documents.sparkSession.sparkContext.broadcast(Model.load(model_path).parts())
+
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model.load(model_path)
+        model = Model(*kept.value)
         for batch in batches:
             rows = [(d, kind, a, b) for d, t in zip(batch["doc_id"], batch["text"]) if isinstance(t, str) for a, b, kind in decode(model, t)]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "pii_start", "pii_end"])
@@ -321,8 +327,10 @@ def redacted(documents: DataFrame, model_path: str = str(MODEL_PATH)) -> DataFra
     A null text stays null, with no mentions.
     """
 
+    kept = documents.sparkSession.sparkContext.broadcast(Model.load(model_path).parts())
+
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model.load(model_path)
+        model = Model(*kept.value)
         for batch in batches:
             texts, counts = [], []
             for t in batch["text"]:

@@ -44,6 +44,8 @@ def _pattern(limit: Column, core: Column) -> Column:
 
     White space at a piece's ends isn't counted. Possessive runs of white space keep matching linear.
     """
+    # rows that a filter drops may still be looked at, so the pattern has to be valid for any limit
+    core, limit = F.greatest(F.coalesce(core, F.lit(1)), F.lit(1)), F.greatest(F.coalesce(limit, F.lit(1)), F.lit(1))
     half = F.ceil(core / 2).cast("string")
     core, limit = core.cast("string"), limit.cast("string")
     gap, sentence = r"(?=[\p{Z}\s]|\z)", r"(?<=[。！？])|(?<=[.!?])(?=[\p{Z}\s])"
