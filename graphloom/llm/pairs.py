@@ -172,7 +172,11 @@ def is_copy(prompt: list[str], answer: list[str]) -> bool:
     if not prompt or not answer or len(answer) < 0.8 * len(prompt):
         return False
     rounds = max(1, round(len(answer) / len(prompt)))
-    if len(answer) > 1.15 * rounds * len(prompt) + 2 or containment(answer, prompt * (1 + (rounds > 1))) < 0.8:
+    if len(answer) > 1.15 * rounds * len(prompt) + 2:
+        return False
+    # few common shingles, few common tokens in order: the alignment would fail as well. One word left
+    # out of a short prompt breaks most of its shingles, so the alignment has the last word
+    if len(answer) > 40 and containment(answer, prompt) < 0.2:
         return False
     common = lcs_length(prompt * rounds, answer)
     return common >= 0.85 * len(prompt) * rounds and common >= 0.9 * len(answer)

@@ -13,7 +13,7 @@ def test_empty(answer):
     assert pairs.defect(EN, None, answer) == "empty"
 
 
-@pytest.mark.parametrize("answer", [EN, EN.upper(), f'{{"answer": "{EN}"}}', f"> {EN}", f"Question: {EN}", f"{EN}\n\n{EN}", EN[:-1], "“" + EN + "”"])
+@pytest.mark.parametrize("answer", [EN, EN.upper(), f'{{"answer": "{EN}"}}', f"> {EN}", f"Question: {EN}", f"{EN}\n\n{EN}", EN[:-1], "“" + EN + "”", EN.replace("the valve", "valve")])
 def test_copy(answer):
     assert pairs.defect(EN, None, answer) == "copy"
 
