@@ -30,6 +30,8 @@ M, BLOCK, M_HAN, BLOCK_HAN = 14, 8, 6, 5
 ZONES, PER_ZONE, LEAST_ZONES, LEAST_TOTAL, SLACK = 8, 2, 2, 4, 40
 #: A sentence is held where runs of at least RUN letters (RUN_HAN in Han text) cover so much of it.
 HELD, RUN, RUN_HAN = 0.75, 4, 2
+#: Sentences under SHORT letters (SHORT_HAN), which differ from others of their form by one word, need more.
+SHORT, SHORT_HAN, HELD_SHORT = 45, 20, 0.9
 #: Letters that may stand between two consecutive sentences (page marks, notes).
 GAP = 60
 #: Evaluation items taken into one matcher; more items make more matchers, each read in turn.
@@ -252,11 +254,12 @@ class Matcher:
         cover HELD of it. Shorter runs, which any two texts share, don't count."""
         left = max(0, at - SLACK // 2)
         window = text[left : at + len(sentence) + 2 * SLACK]
-        run = RUN_HAN if sentence and _HAN_TEXT.search(sentence) else RUN
+        han = bool(_HAN_TEXT.search(sentence))
+        run, need = RUN_HAN if han else RUN, HELD_SHORT if len(sentence) < (SHORT_HAN if han else SHORT) else HELD
         if sentence in window:
             return bool(sentence)
         blocks = SequenceMatcher(None, sentence, window, autojunk=False).get_matching_blocks()
-        return sum(b.size for b in blocks if b.size >= run) >= HELD * len(sentence)
+        return sum(b.size for b in blocks if b.size >= run) >= need * len(sentence)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
