@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.containers import KeyedSet
-from graphloom.functions import text
-from graphloom.operators import extract, search
+from graphloom.functions import text, vectors
+from graphloom.operators import candidates, extract, prompts
 from graphloom.plans.integrity import _TREE, _clean, current_outlines
 from graphloom.session import read_table
 from graphloom.sources import packages, vault
@@ -79,7 +79,48 @@ def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return d.join(classes, "digest").select("doc_id", "class_id", "class_size")
 
 
-QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates)}
+def similar_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Node names of each package with their class of similar names and their number of links."""
+    rows = read_table(spark, folder, "course_nodes").select(F.col("package_id").alias("scope"), text.normal_name(F.col("node_name")).alias("name"))
+    return candidates.similar_names(rows)
+
+
+def semantic_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of each package after similar ones were merged."""
+    rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"]).select(F.col("package_id").alias("scope"), F.col("node_name").alias("name"))
+    none = spark.createDataFrame([], "scope string, source string, target string")
+    return candidates.merge_similar(rows, none)[0]
+
+
+def _queried(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"])
+    rows = rows.select(F.col("package_id").alias("scope"), F.col("record_id").alias("id"), text.normal_name(F.col("node_name")).alias("name"), "parent_outline_id", vectors.embed(F.col("node_name")).alias("vector"), F.concat_ws("\n", "node_name", "summary", "evidence").alias("body"))
+    return rows.filter("id % 20 = 0"), rows
+
+
+def contrast_partners(spark: SparkSession, folder: str) -> DataFrame:
+    """For every twentieth node the most contrasting name of its package."""
+    queries, rows = _queried(spark, folder)
+    return candidates.partners(queries, rows, ["name"], candidates.contrast, 1)
+
+
+def edge_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """For every twentieth node the closest of its package that are similar, near or mentioned."""
+    queries, rows = _queried(spark, folder)
+    return candidates.partners(queries, rows, ["vector", "parent_outline_id", "name", "body"], candidates.closeness(0.7), 2)
+
+
+def chunk_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Which context fits each source block beside its package's outline."""
+    now = current_outlines(spark, folder).select(F.col("package_id").alias("scope"), F.col("nid").alias("id"), "title", "depth", "sort_order")
+    full = prompts.outline_text(now).withColumnRenamed("outline_text", "full_outline")
+    compact = prompts.outline_text(now.filter("depth <= 1")).withColumnRenamed("outline_text", "compact_outline")
+    blocks = read_table(spark, folder, "source_blocks").dropDuplicates(["block_id"]).select("block_id", F.col("package_id").alias("scope"), "text", F.coalesce("outline_path", F.array().cast("array<string>")).alias("terms"))
+    fitted = prompts.fit_context(blocks.join(full, "scope", "left").join(compact, "scope", "left"), 2000, 500)
+    return fitted.select("block_id", "context_level", F.md5("context").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates, similar_names, semantic_dedup, contrast_partners, edge_candidates, chunk_contexts)}
 
 SQL = {
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
