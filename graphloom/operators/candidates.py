@@ -39,10 +39,17 @@ def similar_names(names: DataFrame, least: float = SIMILAR) -> DataFrame:
     spread = rows.select("scope", "name", "_n", F.explode("_letters").alias("_t")).join(counts, "_t")
     keep = F.col("_n") - F.ceil(F.col("_n") * least / (2 - least) - 1e-9) + 1
     rare = spread.groupBy("scope", "name", "_n").agg(F.array_sort(F.collect_list(F.struct("_c", "_t"))).alias("_s"))
-    prefix = rare.select("scope", "name", "_n", F.explode(F.slice("_s", F.lit(1), keep.cast("int"))).alias("_x")).select("scope", "name", "_n", "_x._t")
-    other = prefix.select("scope", F.col("name").alias("other"), F.col("_n").alias("_m"), "_t")
+    own = F.transform("_s", lambda x: x["_t"])
+    prefix = cut_lineage(rare.select("scope", "name", "_n", own.alias("_all"), F.explode(F.slice("_s", F.lit(1), keep.cast("int"))).alias("_x")).select("scope", "name", "_n", "_all", "_x._t"))
+    other = prefix.select("scope", F.col("name").alias("other"), F.col("_n").alias("_m"), F.col("_all").alias("_all2"), "_t")
     fits = (F.col("_m") * (2 - least) >= F.col("_n") * least) & (F.col("_n") * (2 - least) >= F.col("_m") * least)
-    pairs = prefix.join(other, ["scope", "_t"]).filter((F.col("name") < F.col("other")) & fits).select("scope", "name", "other").distinct()
+    common = F.array_intersect("_all", "_all2")
+    # a pair that meets on several letters is judged once, on the first of its common ones; and the ratio,
+    # which needs Python, only where the common letters allow it
+    first = F.element_at(common, 1) == F.col("_t")
+    enough = 2 * F.size(common) >= least * (F.col("_n") + F.col("_m")) - 1e-9
+    met = prefix.join(other, ["scope", "_t"]).filter((F.col("name") < F.col("other")) & fits)
+    pairs = met.filter(enough & first).select("scope", "name", "other")
     # either order may match more letters
     ratio = F.greatest(sequence_ratio(F.col("name"), F.col("other")), sequence_ratio(F.col("other"), F.col("name")))
     links = cut_lineage(pairs.filter(ratio >= least))
