@@ -109,4 +109,13 @@ QUERIES = {
     "p8_redacted": p8_redacted,
 }
 
-SQL: dict[str, str] = {}
+_TOKENS = "greatest(1, len(regexp_replace({0}, '[^㐀-鿿]', '', 'g')) + ceil((len({0}) - len(regexp_replace({0}, '[^㐀-鿿]', '', 'g'))) / 4))"
+
+SQL = {
+    "p1_found": rf"""WITH o AS (SELECT lower(trim(profile_id)) AS p, target_tokens AS t FROM pipeline_options),
+        b AS (SELECT DISTINCT ON (block_id) block_id, text, coalesce(nullif(lower(trim(profile_id)), ''), 'default') AS p FROM source_blocks),
+        x AS (SELECT block_id, text, coalesce(o.t, (SELECT t FROM o WHERE p = 'default')) AS t FROM b LEFT JOIN o ON o.p = b.p),
+        y AS (SELECT block_id, t, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([。！？])', '\1' || chr(10), 'g'), '([.!?])([\p{{Z}}\s])', '\1' || chr(10) || '\2', 'g'), '[\r\n]+'),
+          lambda s: regexp_replace(s, '^[\p{{Z}}\s]+|[\p{{Z}}\s]+$', '', 'g')) AS parts FROM x WHERE {_TOKENS.format("text")} > t AND len(regexp_replace(text, '[\p{{Z}}\s]', '', 'g')) > 0)
+        SELECT block_id, CASE WHEN len(list_filter(parts, lambda s: {_TOKENS.format("s")} > t)) > 0 THEN 'hard' ELSE 'natural' END AS cut_kind FROM y""",
+}
