@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import dates, ids, text, vectors
+from graphloom.functions.keys import clean_key
 from graphloom.operators import chunks, graphs, lists, merge, quality, search, sets
 from graphloom.operators.hierarchy import hierarchy
 from graphloom.plans.integrity import _TREE, _clean, _outline_tree, current_outlines
@@ -209,18 +210,30 @@ def graph_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted edges below .5 confidence as links, and their ends."""
+    """The accepted edges below .3 confidence that the SQL of two queries states, and their ends."""
     e = _edges(spark, folder).filter("status = 'accepted' and confidence < 0.3 and edge_type <> 'related' and source is not null and target is not null")
     e = e.select(F.col("source").alias("src"), F.col("target").alias("dst"))
     return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e
 
 
+def _whole_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All ids that a node, a shared concept or an edge names, and all edges with two ends as links."""
+    e = _edges(spark, folder).select(clean_key(F.col("source")).alias("src"), clean_key(F.col("target")).alias("dst"))
+    named = [read_table(spark, folder, t).select(clean_key(F.col("node_id")).alias("id")) for t in ("course_nodes", "concept_registry")]
+    ids_ = named[0].unionByName(named[1]).unionByName(e.select(F.explode(F.array("src", "dst")).alias("id")))
+    return ids_.filter("id is not null").distinct(), e.filter("src is not null and dst is not null")
+
+
 def graph_components(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.connected_components(*_links(spark, folder))
 
 
+def graph_components_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.connected_components(*_whole_graph(spark, folder))
+
+
 def graph_communities(spark: SparkSession, folder: str) -> DataFrame:
-    _, e = _links(spark, folder)
+    _, e = _whole_graph(spark, folder)
     return graphs.communities(e.withColumn("weight", F.lit(1.0)))
 
 
@@ -228,6 +241,10 @@ def graph_reports(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.community_report(graph_components(spark, folder), "component", "id")
 
 
+def graph_reports_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.community_report(graph_components_whole(spark, folder), "component", "id")
+
+
 def graph_induced(spark: SparkSession, folder: str) -> DataFrame:
     nodes = read_table(spark, folder, "course_nodes").groupBy("node_id").agg(F.min("package_id").alias("grp"))
     e = _edges(spark, folder).select("edge_id", "source", "target")
@@ -235,7 +252,7 @@ def graph_induced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_impact(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, e = _links(spark, folder)
+    nodes, e = _whole_graph(spark, folder)
     by = F.pmod(F.crc32(F.concat_ws("|", "src", "dst")), F.lit(4))
     return graphs.connectivity_impact(nodes, e.filter(by != 0), e.filter(by == 0))
 
@@ -418,7 +435,7 @@ QUERIES = {
         scalar_names, scalar_tokens, scalar_titles, key_templates, relative_dates, secret_redaction,
         merge_keep_existing, merge_keep_incoming, merge_fields, merge_rule, merge_longest, merge_edges, merge_singleton,
         set_union, set_intersection, set_difference, set_symmetric_difference, set_relation, list_slice, list_edits, list_count,
-        prune_dangling, prune_hyper, hyper_incidence, graph_undirected, graph_degrees, graph_components, graph_communities, graph_reports,
+        prune_dangling, prune_hyper, hyper_incidence, graph_undirected, graph_degrees, graph_components, graph_components_whole, graph_communities, graph_reports, graph_reports_whole,
         graph_induced, graph_impact, graph_relabel, graph_ancestors, graph_v1,
         gate_nodes, repair_parents, gate_edges, quality_coverage, quality_evaluation, quality_agreement, quality_quarantine, usage_rollup, latest_per_key,
         chunk_halving, chunk_table_text, chunk_split, chunk_packing, chunk_facts, chunk_batches, ref_hydration,
