@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import normal_name, sequence_ratio
+from graphloom.functions.vectors import embed
 from graphloom.operators.graphs import connected_components
 from graphloom.session import cut_lineage
 
 #: Least name similarity of duplicates.
 SIMILAR = 0.82
+#: Least cosine of duplicates.
+CLOSE = 0.94
 # --- fixed values: terms too general to count as a mention
 GENERAL = ("项目", "管理", "团队", "职能", "流程", "知识", "系统", "方式", "能力", "相关", "提供")
 
@@ -60,19 +66,79 @@ def similar_names(names: DataFrame, least: float = SIMILAR) -> DataFrame:
     return out.select("scope", "name", F.substring_index("component", "\u0001", -1).alias("class_name"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def merge_similar(nodes: DataFrame, edges: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+@F.pandas_udf(T.StringType())
+def _folded(names: pd.Series) -> pd.Series:
+    return pd.Series([unicodedata.normalize("NFKC", n) if isinstance(n, str) else None for n in names])
+
+
+def name_key(name: Column) -> Column:
+    """normal_name; where that is empty, that of the name in compatibility form (full-width letters and
+    the like), else the name itself in lower case. Empty for a blank name, null for null."""
+    key = normal_name(name)
+    folded = F.when(key == "", _folded(name))
+    return F.when(key != "", key).when(normal_name(folded) != "", normal_name(folded)).otherwise(F.lower(F.trim(name)))
+
+
+def close_vectors(rows: DataFrame, least: float = CLOSE, per_block: int = 2_000) -> DataFrame:
+    """(scope, name, other): links between names of a scope that connect all whose vectors have a cosine
+    of at least `least`, directly or by chains.
+
+    rows: scope, name, vector; one row per scope and name. Exact: a scope is cut into blocks of about
+    per_block rows, and every two blocks of it meet in one task, which gives a forest of their links, so
+    that many equal vectors are no square of rows. Vectors that are null or of no length are close to none.
+    """
+    rows = rows.select("scope", "name", "vector").filter(F.col("vector").isNotNull())
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("_blocks"))
+    rows = rows.join(sizes, "scope").withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumns({"_i": F.least("_own", "_with"), "_j": F.greatest("_own", "_with")}).drop("_blocks", "_with")
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        names, v = group["name"].to_numpy(), np.asarray(group["vector"].tolist(), dtype="float64")
+        lengths = np.linalg.norm(v, axis=1, keepdims=True)
+        v = v / np.where(lengths > 0, lengths, np.inf)
+        label = list(range(len(names)))
+
+        def top(i: int) -> int:
+            while label[i] != i:
+                label[i] = label[label[i]]
+                i = label[i]
+            return i
+
+        found = []
+        for at in range(0, len(names), 256):
+            for i, j in zip(*np.nonzero(v[at : at + 256] @ v.T >= least)):
+                a, b = top(int(i) + at), top(int(j))
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    found.append((int(i) + at, int(j)))
+        return pd.DataFrame({"scope": [group["scope"].iloc[0]] * len(found), "name": [names[i] for i, _ in found], "other": [names[j] for _, j in found]}, dtype=object)
+
+    kinds = ", ".join(f"{c} {rows.schema[f].dataType.simpleString()}" for c, f in (("scope", "scope"), ("name", "name"), ("other", "name")))
+    return rows.groupBy("scope", "_i", "_j").applyInPandas(linked, kinds)
+
+
+def merge_similar(nodes: DataFrame, edges: DataFrame, least: float = SIMILAR, least_cosine: float = CLOSE) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with names replaced by the smallest of their class, duplicates merged away.
 
-    nodes: scope, name and others; edges: scope, source, target and others. Names are compared
-    normalised; loops that the renaming makes are dropped.
+    nodes: scope, name and others; edges: scope, source, target and others. Names are compared by
+    name_key; two are linked by their ratio, or by the cosine of the vectors of name and longest
+    summary (a column `summary`, if there is one), and chains count. A name without a key stays as it
+    is. Loops that the renaming makes are dropped.
     """
-    spelt = nodes.withColumn("_key", normal_name(F.col("name")))
-    classes = cut_lineage(similar_names(spelt.select("scope", F.col("_key").alias("name")), least))
-    shown = spelt.groupBy("scope", F.col("_key").alias("class_name")).agg(F.min("name").alias("_new"))
-    mapping = classes.join(shown, ["scope", "class_name"]).select("scope", F.col("name").alias("_key"), "_new")
-    named = spelt.join(mapping, ["scope", "_key"]).withColumn("name", F.col("_new")).select(*nodes.columns).dropDuplicates(["scope", "name"])
+    spelt = cut_lineage(nodes.withColumn("_key", name_key(F.col("name"))))
+    summary = F.max_by("summary", F.struct(F.length("summary"), "summary")) if "summary" in nodes.columns else F.lit(None).cast("string")
+    keyed = cut_lineage(spelt.filter("_key <> ''").groupBy("scope", "_key").agg(F.min("name").alias("_new"), summary.alias("_summary")))
+    by_name = similar_names(keyed.select("scope", F.col("_key").alias("name")), least).select("scope", "name", F.col("class_name").alias("other"))
+    vectors = keyed.select("scope", F.col("_key").alias("name"), embed(F.concat_ws("\n", "_new", "_summary")).alias("vector"))
+    vertex = lambda c: F.concat_ws("\u0001", F.col("scope").cast("string"), F.col(c))
+    links = by_name.unionByName(close_vectors(vectors, least_cosine)).select(vertex("name").alias("src"), vertex("other").alias("dst"))
+    classes = connected_components(keyed.select(vertex("_key").alias("id")), links)
+    shown = keyed.select(vertex("_key").alias("component"), "_new")
+    mapping = cut_lineage(keyed.select("scope", "_key", vertex("_key").alias("id")).join(classes, "id").join(shown, "component").select("scope", "_key", "_new"))
+    named = spelt.join(mapping, ["scope", "_key"], "left").withColumn("name", F.coalesce("_new", "name")).select(*nodes.columns).dropDuplicates(["scope", "name"])
     for end in ("source", "target"):
-        edges = edges.withColumn("_key", normal_name(F.col(end))).join(mapping, ["scope", "_key"], "left").withColumn(end, F.coalesce("_new", end)).drop("_key", "_new")
+        edges = edges.withColumn("_key", name_key(F.col(end))).join(mapping, ["scope", "_key"], "left").withColumn(end, F.coalesce("_new", end)).drop("_key", "_new")
     return named, edges.filter("source <> target").dropDuplicates()
 
 

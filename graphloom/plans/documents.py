@@ -87,9 +87,9 @@ def similar_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def semantic_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of each package after similar ones were merged."""
-    rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"]).select(F.col("package_id").alias("scope"), F.col("node_name").alias("name"))
+    rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"]).select(F.col("package_id").alias("scope"), F.col("node_name").alias("name"), "summary")
     none = spark.createDataFrame([], "scope string, source string, target string")
-    return candidates.merge_similar(rows, none)[0]
+    return candidates.merge_similar(rows, none)[0].select("scope", "name")
 
 
 def _queried(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -59,3 +59,28 @@ def test_contexts(spark):
     assert many == [str(i) for i in range(16, 40)]
     o = spark.createDataFrame([("s", "b", "B", 2, 2), ("s", "a", "A", 1, 1), ("s", "r", "R", 0, 0)], "scope string, id string, title string, depth int, sort_order int")
     assert prompts.outline_text(o).first().outline_text == "- [a] A\n  - [b] B"
+
+
+def test_merge_by_vectors_and_names_without_a_key(spark):
+    text = "measures the flow of a liquid through a closed pipe, in litres a minute, by the pressure on both sides of a plate " * 3
+    n = [("s", "Orifice", text), ("s", "Gauge", text), ("s", "Valve", "shuts"), ("s", "Ｖａｌｖｅ", None), ("s", "Ёлка", None), ("s", "  ", None), ("s", None, None), ("t", "Gauge", text)]
+    nodes = spark.createDataFrame(n, "scope string, name string, summary string")
+    none = spark.createDataFrame([], "scope string, source string, target string")
+    got = candidates.merge_similar(nodes, none)[0].collect()
+    assert sorted((r.scope, str(r.name)) for r in got) == [("s", "  "), ("s", "Gauge"), ("s", "None"), ("s", "Valve"), ("s", "Ёлка"), ("t", "Gauge")]
+
+
+def test_close_vectors_connect_what_brute_force_does(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), f"n{i}", [rng.gauss(0, 1) for _ in range(3)]) for i in range(80)] + [("a", "zero", [0.0] * 3), ("a", "null", None)]
+    got = candidates.close_vectors(spark.createDataFrame(rows, "scope string, name string, vector array<double>"), per_block=7).collect()
+    label = {n: n for _, n, _ in rows}
+    expect = dict(label)
+    cos = candidates.cosine_of
+    pairs = [(a, b) for s, a, x in rows for t, b, y in rows if s == t and a < b and cos(x, y) >= 0.94]
+    for _ in rows:
+        for a, b in pairs:
+            expect[a] = expect[b] = min(expect[a], expect[b])
+        for r in got:
+            label[r.name] = label[r.other] = min(label[r.name], label[r.other])
+    assert pairs and label == expect
