@@ -65,13 +65,17 @@ def search_many(queries: DataFrame, items: DataFrame, key: str, vector: str, k:
                     d2 = q2 - 2 * q @ v.T + (v * v).sum(axis=1)[None, :]
                     names = some[key].to_numpy()
                     d2[own_ids[:, None] == names[None, :]] = np.inf
-                    take = min(k + 8, d2.shape[1])
-                    cols = np.argpartition(d2, take - 1, axis=1)[:, :take] if take < d2.shape[1] else np.tile(np.arange(d2.shape[1]), (len(own_ids), 1))
-                    rows = np.repeat(np.arange(len(own_ids)), cols.shape[1])
-                    flat = cols.ravel()
-                    exact = np.sqrt(((q[rows] - v[flat]) ** 2).sum(axis=1))
+                    # all rows as near as the k-th, with a margin for the rounding of d2, so that no tie is lost
+                    kth = np.partition(d2, k - 1, axis=1)[:, k - 1 : k] if k < d2.shape[1] else np.full((len(own_ids), 1), np.inf)
+                    near = (d2 <= kth + 1e-9 * (q2 + (v * v).sum(axis=1)[None, :])) & np.isfinite(d2)
+                    found = []
+                    for i in range(len(own_ids)):
+                        cols = np.flatnonzero(near[i])
+                        exact = np.sqrt(((q[i] - v[cols]) ** 2).sum(axis=1))
+                        cut = np.lexsort((names[cols], exact))[:k]
+                        found.append((np.full(len(cut), i), cols[cut], exact[cut]))
+                    rows, flat, exact = (np.concatenate(x) for x in zip(*found))
                     found = pd.DataFrame({"query": own_ids[rows], key: names[flat], "distance": exact})
-                    found = found[np.isfinite(d2[rows, flat])]
                     best = pd.concat([best, found]).sort_values(["query", "distance", key]).groupby("query", sort=False).head(k)
             yield best
 

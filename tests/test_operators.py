@@ -166,6 +166,13 @@ def test_search_matches_brute_force(spark):
         search.search(df, "vid", "v", [0.0] * 6, 0)
 
 
+def test_search_keeps_the_smallest_keys_of_many_equal_vectors(spark):
+    data = [(0, [0.0, 0.0])] + [(i, [1.0, 0.5] if i % 3 else [2.0, 0.1 * i]) for i in range(3000, 0, -1)]
+    df = spark.createDataFrame(data, "vid long, v array<double>").coalesce(1)
+    got = search.search_many(df.filter("vid = 0"), df, "vid", "v", 5).collect()
+    assert [r.vid for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 4, 5, 7]
+
+
 @pytest.mark.parametrize("size, overlap", [(20, 5), (50, 0), (7, 3)])
 def test_recursive_split_keeps_all_words_within_size(size, overlap):
     body = "One two three. Four five!\n\nSix seven eight nine ten.\nEleven。十二十三！ " * 5
