@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.containers import KeyedSet
 from graphloom.functions import text, vectors
+from graphloom.functions.keys import clean_key
 from graphloom.operators import candidates, extract, prompts
 from graphloom.plans.integrity import _TREE, _clean, current_outlines
 from graphloom.session import read_table
@@ -48,11 +49,19 @@ def package_validation(spark: SparkSession, folder: str) -> DataFrame:
     return packages.validate(contents, now)
 
 
+def _concepts(spark: SparkSession, folder: str) -> DataFrame:
+    """(node_id, node_name, domain, seq): one row per node id of courses and shared concepts, the earliest."""
+    columns = [clean_key(F.col("node_id")).alias("node_id"), "node_name", "created_at"]
+    courses = read_table(spark, folder, "course_nodes").select(*columns, F.lit(None).cast("string").alias("domain"), "record_id")
+    shared = read_table(spark, folder, "concept_registry").select(*columns, "domain", F.lit(None).cast("bigint").alias("record_id"))
+    first = F.min_by(F.struct("node_name", "domain", F.col("created_at").alias("seq")), F.struct("created_at", "record_id", "node_name"))
+    return courses.unionByName(shared).filter("node_id is not null").groupBy("node_id").agg(first.alias("_n")).select("node_id", "_n.*")
+
+
 def vault_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of the shared concepts and the links that edges make between them."""
-    nodes = read_table(spark, folder, "concept_registry").select("node_id", "node_name", "domain")
-    edges = read_table(spark, folder, "course_edges").select("source", "target", "edge_type")
-    files = vault.notes(nodes, edges, "node_id", "node_name", ["node_id", "domain"])
+    """Notes of all course nodes and shared concepts and the links that edges make between them."""
+    edges = read_table(spark, folder, "course_edges").select(clean_key(F.col("source")).alias("source"), clean_key(F.col("target")).alias("target"), "edge_type")
+    files = vault.notes(_concepts(spark, folder).drop("seq"), edges, "node_id", "node_name", ["node_id", "domain"])
     return vault.manifest(files)
 
 
@@ -62,9 +71,8 @@ def note_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def set_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The concepts nearest to a phrase, from a keyed set with its index."""
-    rows = read_table(spark, folder, "concept_registry").withColumn("seq", F.col("node_id"))
-    items = KeyedSet.of(rows, "node_id").build_index(["node_name"])
+    """The course nodes and concepts nearest to a phrase, from a keyed set with its index."""
+    items = KeyedSet.of(_concepts(spark, folder), "node_id").build_index(["node_name"])
     return items.search("blood culture", 5).select("node_id", "node_name", F.round("distance", 4).alias("distance"))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.plans import knowledge
+from graphloom.plans import documents, knowledge
 
 NODE = "record_id long, package_id string, run_id string, node_id string, node_name string, parent_outline_id string, summary string, aliases array<string>, created_at string"
 EDGE = "edge_id long, source string, target string, edge_type string, confidence double, status string"
@@ -34,3 +34,20 @@ def test_components_reports_and_communities_of_all_edges(spark, graph):
     assert {(r.component, r.n_members, r.members) for r in knowledge.graph_reports_whole(spark, graph).collect()} == {("a", 3, "a, b, c"), ("d", 2, "d, e"), ("x", 2, "x, y"), ("z", 1, "z"), ("shared", 1, "shared")}
     assert {r.id for r in knowledge.graph_communities(spark, graph).collect()} == set("abcdexy")
     assert knowledge.graph_impact(spark, graph).first().components_all == 5
+
+
+def test_notes_and_search_over_course_nodes_and_concepts(spark, tmp_path):
+    nodes = [node(1, "kp-1", "Blood Culture"), node(2, " KP-1", "Later name", at="2024-02-01"), node(3, "kp-2", "Valve")]
+    edges = [(1, "kp-1", "kp-2", "uses", 0.9, "accepted"), (2, "KP-2 ", "c-1", "needs", 0.9, "accepted"), (3, "kp-2", "lost", "uses", 0.9, "accepted")]
+    shared = [("c-1", "Pump", "industry", "2023-01-01")]
+    folder = save(spark, tmp_path, course_nodes=(nodes, NODE), course_edges=(edges, EDGE), concept_registry=(shared, "node_id string, node_name string, domain string, created_at string"))
+    body = lambda i, domain, title, links: f"---\nnode_id: {i}\ndomain: {domain}\n---\n\n# {title}" + (f"\n\n## Relationships\n\n{links}" if links else "")
+    got = {r.path: r.bytes for r in documents.vault_notes(spark, folder).collect()}
+    assert set(got) == {"Blood Culture.md", "Valve.md", "Pump.md"}
+    quoted = lambda x, quote: f"{quote}{x}{quote}"
+    lengths = lambda i, domain, *rest: {len(body(quoted(i, q), domain if domain == "null" else quoted(domain, q), *rest)) for q in ("", '"')}
+    assert got["Blood Culture.md"] in lengths("kp-1", "null", "Blood Culture", "- uses: [[Valve]]")
+    assert got["Valve.md"] in lengths("kp-2", "null", "Valve", "- needs: [[Pump]]")
+    assert got["Pump.md"] in lengths("c-1", "industry", "Pump", "")
+    found = documents.set_search(spark, folder).collect()
+    assert {r.node_id for r in found} == {"kp-1", "kp-2", "c-1"} and min(found, key=lambda r: r.distance).node_name == "Blood Culture"
