@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import dates, ids, text, vectors
@@ -154,6 +154,35 @@ def set_symmetric_difference(spark: SparkSession, folder: str) -> DataFrame:
     return sets.symmetric_difference(*_halves(spark, folder), ["package_id", "k"])
 
 
+def _point_key(name: Column) -> Column:
+    """normal_name, or the bytes of a name that has nothing it keeps, so that no name is without a key."""
+    key = text.normal_name(name)
+    return F.when(key != "", key).otherwise(F.hex(F.lower(F.trim(F.coalesce(name, F.lit(""))))))
+
+
+def _live_and_deleted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The points that records not deleted name, and those that deleted ones name: each record is in one."""
+    rows = _nodes(spark, folder).withColumn("k", _point_key(F.col("node_name")))
+    points = lambda some: merge.keyed_merge(some.select("package_id", "k", "record_id", "node_name"), ["package_id", "k"], ["record_id"])
+    return points(rows.filter("deleted_at is null")), points(rows.filter("deleted_at is not null"))
+
+
+def set_union_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return sets.union(*_live_and_deleted(spark, folder), ["package_id", "k"])
+
+
+def set_intersection_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return sets.intersection(*_live_and_deleted(spark, folder), ["package_id", "k"])
+
+
+def set_difference_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return sets.difference(*_live_and_deleted(spark, folder), ["package_id", "k"])
+
+
+def set_symmetric_difference_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return sets.symmetric_difference(*_live_and_deleted(spark, folder), ["package_id", "k"])
+
+
 def set_relation(spark: SparkSession, folder: str) -> DataFrame:
     c, s = read_table(spark, folder, "customer"), read_table(spark, folder, "supplier")
     a, b = c.select(F.col("c_nationkey").alias("n")), s.select(F.col("s_nationkey").alias("n")).filter("n < 12")
@@ -321,12 +350,14 @@ def quality_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_evaluation(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes of each package's first run measured against labels made from other nodes."""
-    nodes = _nodes(spark, folder).filter("k <> ''")
-    predicted = nodes.filter("record_id % 2 = 0").select(F.concat("package_id", F.lit(" "), "node_name").alias("name"), F.col("parent_outline_id").alias("outline_id"))
+    """All nodes measured against labelled points: every point of every package with its aliases."""
+    nodes = _nodes(spark, folder).withColumn("k", _point_key(F.col("node_name")))
+    inside = lambda key: F.concat(F.col("package_id"), F.lit(" "), key)
+    predicted = nodes.select(inside(F.col("k")).alias("name"), F.col("parent_outline_id").alias("outline_id"))
     label = F.element_at(F.array(F.lit("required"), F.lit("acceptable"), F.lit("forbidden")), (F.col("record_id") % 3 + 1).cast("int"))
-    gold = nodes.filter("record_id % 5 < 3").groupBy("package_id", "k").agg(F.min("record_id").alias("record_id"), F.min_by("node_name", "record_id").alias("n"), F.min_by("parent_outline_id", "record_id").alias("outline_id"))
-    gold = gold.select(F.col("record_id").alias("gold_id"), label.alias("label"), F.array(F.concat("package_id", F.lit(" "), "n")).alias("names"), "outline_id")
+    gold = nodes.groupBy("package_id", "k").agg(F.min("record_id").alias("record_id"), F.min_by("parent_outline_id", "record_id").alias("outline_id"), F.flatten(F.collect_list("aliases")).alias("_aliases"))
+    also = F.transform(F.filter("_aliases", lambda a: F.length(F.trim(a)) > 0), lambda a: inside(_point_key(a)))
+    gold = gold.select(F.col("record_id").alias("gold_id"), label.alias("label"), F.array_distinct(F.concat(F.array(inside(F.col("k"))), also)).alias("names"), "outline_id")
     return quality.evaluate(predicted, gold)
 
 
@@ -434,7 +465,8 @@ QUERIES = {
     for f in (
         scalar_names, scalar_tokens, scalar_titles, key_templates, relative_dates, secret_redaction,
         merge_keep_existing, merge_keep_incoming, merge_fields, merge_rule, merge_longest, merge_edges, merge_singleton,
-        set_union, set_intersection, set_difference, set_symmetric_difference, set_relation, list_slice, list_edits, list_count,
+        set_union, set_intersection, set_difference, set_symmetric_difference, set_union_whole, set_intersection_whole, set_difference_whole, set_symmetric_difference_whole,
+        set_relation, list_slice, list_edits, list_count,
         prune_dangling, prune_hyper, hyper_incidence, graph_undirected, graph_degrees, graph_components, graph_components_whole, graph_communities, graph_reports, graph_reports_whole,
         graph_induced, graph_impact, graph_relabel, graph_ancestors, graph_v1,
         gate_nodes, repair_parents, gate_edges, quality_coverage, quality_evaluation, quality_agreement, quality_quarantine, usage_rollup, latest_per_key,

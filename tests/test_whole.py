@@ -4,7 +4,7 @@ import pytest
 
 from graphloom.plans import documents, knowledge
 
-NODE = "record_id long, package_id string, run_id string, node_id string, node_name string, parent_outline_id string, summary string, aliases array<string>, created_at string"
+NODE = "record_id long, package_id string, run_id string, node_id string, node_name string, parent_outline_id string, summary string, aliases array<string>, created_at string, deleted_at string"
 EDGE = "edge_id long, source string, target string, edge_type string, confidence double, status string"
 
 
@@ -14,8 +14,8 @@ def save(spark, folder, **tables):
     return str(folder)
 
 
-def node(record_id, node_id, name="n", package="p", run="r1", at="2024-01-01", aliases=(), outline="o", summary="s"):
-    return (record_id, package, run, node_id, name, outline, summary, list(aliases), at)
+def node(record_id, node_id, name="n", package="p", run="r1", at="2024-01-01", aliases=(), outline="o", summary="s", gone=None):
+    return (record_id, package, run, node_id, name, outline, summary, list(aliases), at, gone)
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,17 @@ def test_notes_and_search_over_course_nodes_and_concepts(spark, tmp_path):
     assert got["Pump.md"] in lengths("c-1", "industry", "Pump", "")
     found = documents.set_search(spark, folder).collect()
     assert {r.node_id for r in found} == {"kp-1", "kp-2", "c-1"} and min(found, key=lambda r: r.distance).node_name == "Blood Culture"
+
+
+def test_sets_and_evaluation_of_all_records(spark, tmp_path):
+    gone = "2024-03-01"
+    nodes = [node(1, "a", "Pump"), node(2, "b", "pump", gone=gone), node(3, "c", "Valve", gone=gone), node(9, "d", "Ёлка"), node(15, "e", "Tank", aliases=["Vessel", None, " "]), node(7, "f", "Vessel")]
+    folder = save(spark, tmp_path, course_nodes=([*nodes, nodes[0]], NODE))
+    names = lambda df: {r.node_name for r in df.collect()}
+    assert names(knowledge.set_union_whole(spark, folder)) == {"Pump", "Valve", "Ёлка", "Tank", "Vessel"}
+    assert names(knowledge.set_intersection_whole(spark, folder)) == {"Pump"}
+    assert names(knowledge.set_difference_whole(spark, folder)) == {"Ёлка", "Tank", "Vessel"}
+    assert names(knowledge.set_symmetric_difference_whole(spark, folder)) == {"Valve", "Ёлка", "Tank", "Vessel"}
+    # required: 3 Valve, 9 Ёлка, 15 Tank; acceptable: 1 Pump, 7 Vessel, which is also an alias of 15, of smaller id 7
+    r = knowledge.quality_evaluation(spark, folder).first()
+    assert (r.recall, r.precision, r.placement, r.leakage, r.duplicates) == (1.0, 1.0, 1.0, 0.0, 0.166667)
