@@ -49,11 +49,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its plan cut by a reliable checkpoint.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share. Only where that is
-    unset (tests on one machine) a temporary folder is set here.
+    The folder is the session's spark.checkpoint.dir, which all executors share. Where that is unset, a
+    master on one machine gets a temporary folder; on a cluster that is an error, as no executor
+    could read another's.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager)
