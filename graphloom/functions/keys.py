@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space at either end, Unicode spaces and byte order marks included.
-_ENDS = r"^[\p{Z}\s﻿​]+|[\p{Z}\s﻿​]+$"
+#: White space at either end: the Unicode separators, control characters that are space, and marks of no width.
+_ENDS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def strip_ends(text: Column) -> Column:
     """text without white space at its ends; null stays null."""
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(_ENDS))
 
 
 def clean_key(key: Column) -> Column:

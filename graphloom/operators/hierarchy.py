@@ -1,9 +1,10 @@
 """Parent-child rows to full hierarchies: components, coloured depth-first walks, cycles.
 
-A scope (say a package) with up to `co_locate` nodes is brought together in one task, split there into
+A scope (say a package) with up to `co_locate` rows is brought together in one task, split there into
 its connected components, and each component is walked by an iterative depth-first search that
 colours nodes. Scopes beyond that size are cut into components by pointer doubling over DataFrames,
-whose rounds double the distance walked; no component is ever gathered in one task then.
+whose rounds double the distance walked; no component is ever gathered in one task then. Both give
+the same columns and rows.
 """
 
 from __future__ import annotations
@@ -82,34 +83,16 @@ def walk(parent: list[int], lost: list[bool]) -> tuple[list[str], list[int], lis
     return status, steps, root
 
 
-def intervals(parent: list[int], status: list[str]) -> tuple[list[int], list[int], list[int]]:
-    """Pre-order number, last pre-order number below, and number of descendants of each node.
-
-    Only nodes that reach a root are numbered, from 1 within the scope; the others have 0, 0, 0.
-    d is below a exactly where enter(a) < enter(d) <= leave(a), for two nodes of one scope.
-    """
-    n = len(parent)
-    below: list[list[int]] = [[] for _ in range(n)]
-    roots = []
-    for i, p in enumerate(parent):
-        if status[i] == OK:
-            (below[p] if p >= 0 else roots).append(i)
-    enter, leave, clock = [0] * n, [0] * n, 0
-    for r in roots:
-        stack = [(r, False)]
-        while stack:
-            i, done = stack.pop()
-            if done:
-                leave[i] = clock
-                continue
-            clock += 1
-            enter[i] = clock
-            stack.append((i, True))
-            stack.extend((c, False) for c in reversed(below[i]))
-    return enter, leave, [b - a if a else 0 for a, b in zip(enter, leave)]
+def subtree_sizes(parent: list[int], status: list[str], steps: list[int]) -> list[int]:
+    """Number of descendants of each node that reaches a root, summed from the deepest up; others have 0."""
+    below = [0] * len(parent)
+    for i in sorted(range(len(parent)), key=steps.__getitem__, reverse=True):
+        if status[i] == OK and parent[i] >= 0:
+            below[parent[i]] += below[i] + 1
+    return below
 
 
-def _walk_scope(scope: pd.DataFrame, paths: bool) -> pd.DataFrame:
+def _walk_scope(scope: pd.DataFrame, paths: bool, carry: list[str]) -> pd.DataFrame:
     ids, parents = scope["_id"].tolist(), [None if p != p else p for p in scope["_parent"].tolist()]
     index = {x: i for i, x in enumerate(ids)}
     parent = [-1 if p is None else index.get(p, -1) for p in parents]
@@ -130,20 +113,20 @@ def _walk_scope(scope: pd.DataFrame, paths: bool) -> pd.DataFrame:
             "root": [ids[r] if r >= 0 else None for r in root],
             "steps": steps,
             "status": status,
+            **{c: scope[c].tolist() for c in carry},
         }
     )
     if paths:
-        enter, leave, n_below = intervals(parent, status)
         made: list[list[str] | None] = [None] * len(ids)
         for i in sorted(range(len(ids)), key=lambda i: steps[i]):
             if status[i] == OK:
                 p = parent[i]
                 made[i] = [ids[i]] if p < 0 else [*made[p], ids[i]]  # type: ignore[misc]
-        out["path"], out["n_descendants"], out["enter"], out["leave"] = made, n_below, enter, leave
+        out["path"], out["n_descendants"] = made, subtree_sizes(parent, status, steps)
     return out
 
 
-def _walk_partition(paths: bool):
+def _walk_partition(paths: bool, carry: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches sorted by scope; a scope is walked when its last row has come."""
         rest: list[pd.DataFrame] = []
@@ -155,17 +138,17 @@ def _walk_partition(paths: bool):
             if len(ended) or (rest and rest[-1]["_scope"].iloc[-1] != last):
                 ready = pd.concat([*rest, ended])
                 rest = [batch[batch["_scope"] == last]]
-                yield from (_walk_scope(g, paths) for _, g in ready.groupby("_scope", sort=False))
+                yield from (_walk_scope(g, paths, carry) for _, g in ready.groupby("_scope", sort=False))
             else:
                 rest.append(batch)
         if rest:
-            yield from (_walk_scope(g, paths) for _, g in pd.concat(rest).groupby("_scope", sort=False))
+            yield from (_walk_scope(g, paths, carry) for _, g in pd.concat(rest).groupby("_scope", sort=False))
 
     return run
 
 
 _COLUMNS = "_scope string, _id string, component string, root string, steps long, status string"
-_PATHS = ", path array<string>, n_descendants long, enter long, leave long"
+_PATHS = ", path array<string>, n_descendants long"
 
 
 def _doubling(nodes: DataFrame) -> DataFrame:
@@ -230,10 +213,7 @@ def _doubling(nodes: DataFrame) -> DataFrame:
 
 
 def _paths(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """tree with path and n_descendants, by doubling over the nodes that reach a root.
-
-    enter and leave are null: a pre-order number would need the whole tree in one task.
-    """
+    """tree with path and n_descendants, by doubling over the nodes that reach a root."""
     ok = tree.filter(F.col("status") == OK).select("_scope", "_id")
     state = nodes.join(ok, ["_scope", "_id"], "left_semi").select(
         "_scope", "_id", F.col("_parent").alias("_jump"), F.array("_id").alias("path")
@@ -251,43 +231,62 @@ def _paths(nodes: DataFrame, tree: DataFrame) -> DataFrame:
         .groupBy("_scope", "_id")
         .agg(F.count(F.lit(1)).alias("n_descendants"))
     )
-    none = F.lit(None).cast("long")
     return (
         tree.join(state.drop("_jump"), ["_scope", "_id"], "left")
         .join(sizes, ["_scope", "_id"], "left")
-        .withColumns({"n_descendants": F.coalesce("n_descendants", F.lit(0)), "enter": none, "leave": none})
+        .withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
     )
 
 
 def hierarchy(
-    nodes: DataFrame, scope: str, node_id: str, parent_id: str, paths: bool = True, co_locate: int = CO_LOCATE
+    nodes: DataFrame,
+    scope: str,
+    node_id: str,
+    parent_id: str,
+    paths: bool = True,
+    co_locate: int = CO_LOCATE,
+    latest: list[str] | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """For each node of each scope: component, root, steps, status and, with paths, its path from the
-    root, number of descendants and pre-order interval.
-
-    nodes has one row per (scope, node_id), keys already cleaned; a null parent makes a root, a parent
-    that is not in the scope makes the node and all below it detached, a node that is its own ancestor
-    (its own parent included) is on a cycle. Rows with a null scope form one scope of their own; rows
-    with a null node_id are left out. An empty table gives an empty result; extra columns are ignored.
+    """For each node of each scope: component, root, steps, status, the columns of carry and, with paths,
+    its path from the root and number of descendants.
+
+    Keys are cleaned already; a null parent makes a root, a parent that is not in the scope makes the
+    node and all below it detached, a node that is its own ancestor (its own parent included) is on a
+    cycle. Without latest, nodes has one row per (scope, node_id); with it, of several rows of a node
+    the one with the greatest (latest, parent, carry) counts. Rows with a null scope form one scope of
+    their own; rows with a null node_id are left out. An empty table gives an empty result; extra
+    columns are ignored. The result doesn't depend on co_locate, which only chooses who computes it.
+
+    Scopes of up to co_locate rows are shuffled once, by scope: their latest rows are found and their
+    components walked behind the same exchange.
     """
+    carry, latest = carry or [], latest or []
+    held = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     rows = nodes.select(
         F.coalesce(F.col(scope).cast("string"), F.lit("")).alias("_scope"),
         F.col(node_id).cast("string").alias("_id"),
-        F.col(parent_id).cast("string").alias("_parent"),
+        F.struct(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(latest)], F.col(parent_id).cast("string").alias("_parent"), *held).alias("_now"),
     ).filter(F.col("_id").isNotNull())
+    kept = [f"_c{i}" for i in range(len(carry))]
+
+    def current(some: DataFrame) -> DataFrame:
+        one = some.groupBy("_scope", "_id").agg(F.max("_now").alias("_now")) if latest else some
+        return one.select("_scope", "_id", "_now._parent", *[f"_now.{c}" for c in kept])
+
     large = rows.groupBy("_scope").count().filter(F.col("count") > co_locate).select("_scope")
     has_large = bool(large.take(1))
     small = rows.join(large, "_scope", "left_anti") if has_large else rows
-    out = (
-        small.repartition("_scope")
-        .sortWithinPartitions("_scope")
-        .mapInPandas(_walk_partition(paths), _COLUMNS + (_PATHS if paths else ""))
-    )
+    small = current(small.repartition("_scope")).sortWithinPartitions("_scope")
+    carried = "".join(f", {c} {small.schema[c].dataType.simpleString()}" for c in kept)
+    out = small.mapInPandas(_walk_partition(paths, kept), _COLUMNS + carried + (_PATHS if paths else ""))
     if has_large:
-        rows = cut_lineage(rows.join(large, "_scope", "left_semi"))
-        tree = _doubling(rows)
-        out = out.unionByName(_paths(rows, cut_lineage(tree)) if paths else tree)
-    return out.withColumnsRenamed({"_scope": scope, "_id": node_id})
+        rows = cut_lineage(current(rows.join(large, "_scope", "left_semi")))
+        bare = rows.select("_scope", "_id", "_parent")
+        tree = _doubling(bare)
+        tree = _paths(bare, cut_lineage(tree)) if paths else tree
+        out = out.unionByName(tree.join(rows.select("_scope", "_id", *kept), ["_scope", "_id"]) if kept else tree)
+    return out.withColumnsRenamed({"_scope": scope, "_id": node_id, **dict(zip(kept, carry))})
 
 
 def descendants(tree: DataFrame, scope: str, node_id: str) -> DataFrame:

@@ -103,23 +103,25 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(p3_orphans(spark, folder), ["ref_table", "ref_field", "period"])
 
 
-def _outline_tree(spark: SparkSession, folder: str, paths: bool) -> tuple[DataFrame, DataFrame]:
-    now = current_outlines(spark, folder)
-    tree = hierarchy(now.select("pkg", "nid", "parent"), "pkg", "nid", "parent", paths)
-    return now, tree
+def _outline_tree(spark: SparkSession, folder: str, paths: bool) -> DataFrame:
+    """The hierarchy of the current outline nodes (see current_outlines) by (pkg, nid)."""
+    rows = read_table(spark, folder, "outlines").select(
+        clean_key(F.col("package_id")).alias("pkg"), clean_key(F.col("id")).alias("nid"), clean_key(F.col("parent_id")).alias("parent"), "updated_at", "created_at", "id", "depth", "package_id"
+    )
+    latest = ["updated_at", "created_at", "id"]
+    return hierarchy(rows, "pkg", "nid", "parent", paths, latest=latest, carry=[] if paths else ["depth", "package_id", "id"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes on, below or off a hierarchy, and those whose stored depth is not their steps."""
-    now, tree = _outline_tree(spark, folder, paths=False)
-    both = now.select("pkg", "nid", "package_id", "id", "depth").join(tree, ["pkg", "nid"])
+    tree = _outline_tree(spark, folder, paths=False)
     finding = F.when(F.col("status") != "ok", F.col("status")).when(F.col("depth") != F.col("steps"), "wrong_depth")
-    return both.select("package_id", "id", finding.alias("finding")).filter("finding is not null")
+    return tree.select("package_id", "id", finding.alias("finding")).filter("finding is not null")
 
 
 def p5_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     """Path, depth, root and number of descendants of every node that reaches a root."""
-    now, tree = _outline_tree(spark, folder, paths=True)
+    tree = _outline_tree(spark, folder, paths=True)
     return tree.filter("status = 'ok'").select(
         F.col("pkg").alias("package_id"),
         F.col("nid").alias("id"),
@@ -132,7 +134,7 @@ def p5_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """Every (ancestor, descendant, distance) of a package."""
-    _, tree = _outline_tree(spark, folder, paths=True)
+    tree = _outline_tree(spark, folder, paths=True)
     return descendants(tree, "pkg", "nid").select(
         F.col("pkg").alias("package_id"), "ancestor", "descendant", "distance"
     )

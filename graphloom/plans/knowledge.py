@@ -16,12 +16,13 @@ from graphloom.session import read_table
 
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Course nodes, one row per record, keyed by package and normalised name."""
+    """Course nodes, one row per record, keyed by package and normalised name. A confidence of NaN is no
+    confidence, so it is null here."""
     rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"])
-    return rows.withColumn("k", text.normal_name(F.col("node_name")))
+    return rows.withColumns({"k": text.normal_name(F.col("node_name")), "confidence": F.nanvl("confidence", F.lit(None).cast("double"))})
 
 
-_NODES = "nodes AS (SELECT DISTINCT ON (record_id) *, regexp_replace(lower(node_name), '[^0-9a-z㐀-鿿]+', '', 'g') AS k FROM course_nodes)"
+_NODES = "nodes AS (SELECT DISTINCT ON (record_id) * REPLACE (CASE WHEN NOT isnan(confidence) THEN confidence END AS confidence), regexp_replace(lower(node_name), '[^0-9a-z㐀-鿿]+', '', 'g') AS k FROM course_nodes)"
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +113,6 @@ def merge_rule(spark: SparkSession, folder: str) -> DataFrame:
 
 def merge_longest(spark: SparkSession, folder: str) -> DataFrame:
     rows = _nodes(spark, folder).filter("k <> ''").select("package_id", "k", "record_id", "node_name", "summary", "evidence", "aliases", "confidence")
-    rows = rows.withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence")))
     out = merge.longest_merge(rows, ["package_id", "k"], ["record_id"], ["summary", "evidence"], ["aliases"], ["confidence"])
     return out.withColumn("aliases", F.array_join("aliases", "|"))
 
@@ -297,7 +297,7 @@ def graph_relabel(spark: SparkSession, folder: str) -> DataFrame:
 
 def graph_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     """Top-level ancestor of each outline node: the second place of its path, or itself."""
-    _, tree = _outline_tree(spark, folder, paths=True)
+    tree = _outline_tree(spark, folder, paths=True)
     return tree.filter("status = 'ok'").select("pkg", "nid", F.coalesce(F.get("path", F.lit(1)), F.col("nid")).alias("top_level"))
 
 
@@ -344,7 +344,7 @@ def gate_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    _, tree = _outline_tree(spark, folder, paths=True)
+    tree = _outline_tree(spark, folder, paths=True)
     covered = read_table(spark, folder, "course_nodes").select(F.lower(F.trim("package_id")).alias("pkg"), F.lower(F.trim("parent_outline_id")).alias("nid"))
     return quality.coverage(tree, covered, "pkg", "nid")
 
@@ -367,7 +367,7 @@ def quality_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 def quality_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     checks = {
-        "confidence": F.col("confidence").between(0, 1) & ~F.isnan("confidence"),
+        "confidence": F.col("confidence").between(0, 1),
         "name": F.length(F.trim("node_name")) > 0,
         "summary": F.col("summary").isNotNull(),
         "refs": F.size("source_refs") > 0,
@@ -515,7 +515,7 @@ SQL = {
         FROM nodes n LEFT JOIN kinds q ON q.package_id = n.package_id AND q.k = n.k LEFT JOIN texts t ON t.package_id = n.package_id AND t.k = n.k WHERE n.k <> '' GROUP BY n.package_id, n.k""",
     "merge_longest": f"""WITH {_NODES} SELECT package_id, k, min(record_id) AS record_id, arg_min(node_name, record_id) AS node_name, arg_max(summary, (len(summary), -record_id)) FILTER (WHERE summary IS NOT NULL) AS summary,
         arg_max(evidence, (len(evidence), -record_id)) FILTER (WHERE evidence IS NOT NULL) AS evidence, array_to_string(list_sort(list_distinct(flatten(list(aliases)))), '|') AS aliases,
-        max(CASE WHEN NOT isnan(confidence) THEN confidence END) AS confidence FROM nodes WHERE k <> '' GROUP BY package_id, k""",
+        max(confidence) AS confidence FROM nodes WHERE k <> '' GROUP BY package_id, k""",
     "merge_edges": f"""WITH {_EDGES}, t AS (SELECT edge_id, CASE WHEN edge_type IN ('related', 'confusable') THEN least(source, target) ELSE source END AS source,
         CASE WHEN edge_type IN ('related', 'confusable') THEN greatest(source, target) ELSE target END AS target, edge_type, confidence FROM edges WHERE source IS NOT NULL AND target IS NOT NULL)
         SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source, target, edge_type ORDER BY coalesce(confidence, -1) DESC, edge_id) = 1""",
@@ -579,7 +579,7 @@ SQL = {
         FROM status s LEFT JOIN d ON d.pkg = s.pkg AND d.nid = s.nid LEFT JOIN h ON h.pkg = s.pkg AND h.nid = s.nid GROUP BY s.pkg""",
     "quality_agreement": """WITH p AS (SELECT a.l_returnflag = b.l_returnflag AS same FROM (SELECT *, row_number() OVER () AS i FROM lineitem) a JOIN (SELECT *, row_number() OVER () AS i FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.i < b.i)
         SELECT count(*) FILTER (WHERE same) AS equal, count(*) AS compared, round(count(*) FILTER (WHERE same) / count(*), 6) AS agreement FROM p""",
-    "quality_quarantine": f"""WITH {_NODES} SELECT record_id, concat_ws(',', CASE WHEN coalesce(confidence BETWEEN 0 AND 1 AND NOT isnan(confidence), false) THEN NULL ELSE 'confidence' END,
+    "quality_quarantine": f"""WITH {_NODES} SELECT record_id, concat_ws(',', CASE WHEN coalesce(confidence BETWEEN 0 AND 1, false) THEN NULL ELSE 'confidence' END,
         CASE WHEN coalesce(len(trim(node_name)) > 0, false) THEN NULL ELSE 'name' END, CASE WHEN summary IS NOT NULL THEN NULL ELSE 'summary' END, CASE WHEN coalesce(len(source_refs) > 0, false) THEN NULL ELSE 'refs' END) AS violations
         FROM nodes WHERE violations <> ''""",
     "usage_rollup": """WITH e AS (SELECT event_type, event_type = 'error' AS is_error, value::DECIMAL(18, 2) AS v, 'm' || (user_id % 4) AS mode FROM events)
