@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import leakage, mixing, pairs, pii, splitting, survivors
 from graphloom.llm.tokens import count_tokens
-from graphloom.session import read_table
+from graphloom.session import cut_lineage, read_table
 
 
 def _split(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,28 +42,59 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_FIELDS = ("confidence", ["summary", "evidence"], "source_refs")
+
+
+def _live_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "course_nodes").filter(F.col("deleted_at").isNull())
+
+
 def _grouped_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = read_table(spark, folder, "course_nodes").filter(F.col("deleted_at").isNull())
-    columns = ["record_id", "package_id", "node_name", "aliases", "knowledge_kind", "confidence", "summary", "evidence", "source_refs", "updated_at"]
-    nodes = nodes.select(*columns).dropDuplicates(["record_id"])
-    points = survivors.duplicate_groups(nodes.select("record_id", "package_id", "node_name", "aliases"), "record_id", "package_id", "node_name", "aliases")
-    return survivors.with_currency(nodes.join(points, "record_id"), "point", "updated_at", ["knowledge_kind"])
+    """One row per record that isn't deleted, with its point and the measures of its values. The texts
+    are measured where they are read and not shuffled; a repeated row is equal in every column."""
+    rows = survivors.measured(_live_nodes(spark, folder), *_FIELDS)
+    rows = rows.select("record_id", "package_id", "node_name", "aliases", "knowledge_kind", "updated_at", "_ok", "_n_summary", "_n_evidence", "_n_source_refs").dropDuplicates(["record_id"])
+    return survivors.duplicate_groups(rows, "record_id", "package_id", "node_name", "aliases").drop("package_id", "node_name", "aliases")
+
+
+def _best_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    current = survivors.with_currency(_grouped_nodes(spark, folder), "point", "updated_at", ["knowledge_kind"])
+    return survivors.survivors(current, "point", "record_id", *_FIELDS)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """For each point with several records, the record whose value survives for each field."""
-    best = survivors.survivors(_grouped_nodes(spark, folder), "point", "record_id", "confidence", ["summary", "evidence"], "source_refs", values=False)
     fields = ["confidence", "summary", "evidence", "source_refs"]
     pairs_ = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_record").alias("record_id")) for f in fields])
-    return best.select("group_id", F.explode(pairs_).alias("x")).select("group_id", "x.field", "x.record_id").filter("record_id is not null")
+    return _best_nodes(spark, folder).select("group_id", F.explode(pairs_).alias("x")).select("group_id", "x.field", "x.record_id").filter("record_id is not null")
 
 
 def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving record of each point with several records."""
-    best = survivors.survivors(_grouped_nodes(spark, folder), "point", "record_id", "confidence", ["summary", "evidence"], "source_refs")
+    records = _live_nodes(spark, folder).select("record_id", "confidence", "summary", "evidence", "source_refs").dropDuplicates(["record_id"])
+    best = survivors.surviving_values(_best_nodes(spark, folder), records, "record_id", *_FIELDS)
     return best.select("group_id", "n_records", "confidence", "summary", "evidence", "source_refs")
 
 
+def p4_current(spark: SparkSession, folder: str) -> DataFrame:
+    """The knowledge kind that is current in each point with several records: by the records' times
+    (kind_dated), and as it would be placed if no record of the point had a time (kind_placed), by the
+    precedence of kinds learnt over all points. Where the two agree, the order told what time tells.
+    """
+    rows = _grouped_nodes(spark, folder).filter("knowledge_kind is not null").withColumn("knowledge_kind", F.lower(F.trim("knowledge_kind")))
+    rows = cut_lineage(rows.select("record_id", "point", "knowledge_kind", "updated_at"))
+    ranks = survivors.learn_precedence(rows, "point", "knowledge_kind", "updated_at")
+    hidden = rows.withColumn("_at", F.lit(None).cast("timestamp"))
+    placed = survivors.with_currency(hidden, "point", "_at", ["knowledge_kind"], {"knowledge_kind": ranks})
+    out = placed.groupBy("point").agg(
+        F.min("record_id").alias("group_id"),
+        F.count(F.lit(1)).alias("n_records"),
+        F.max_by("knowledge_kind", F.struct("_current", "knowledge_kind")).alias("kind_placed"),
+        F.max_by("knowledge_kind", F.struct("updated_at", "knowledge_kind")).alias("kind_dated"),
+    )
+    return out.filter("n_records > 1").drop("point", "n_records")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of evaluation items, with the items."""
     return leakage.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
@@ -102,6 +133,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
+    "p4_current": p4_current,
     "p6_found": p6_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
