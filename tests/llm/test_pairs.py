@@ -58,6 +58,31 @@ def test_language_asked_for():
     assert pairs.defect(ZH, None, '{"nodes": [{"name": "阀门规则", "summary": "它控制压力。"}]}') is None
 
 
+def test_language_asked_for_after_the_passage():
+    passage = "The valve is a part of the pump, and it keeps the pressure in the limits. " * 9
+    de = "Das Ventil hält den Druck in der Pumpe und ist wichtig für die Dichtung."
+    assert pairs.defect(f"Summarise the passage:\n{passage}\nPlease answer in German.", None, de) is None
+    assert pairs.defect(f"Summarise the passage:\n{passage}\nPlease answer in German.", None, LONG) == "wrong_language"
+    assert pairs.defect(f"Summarise the passage:\n{passage}\nHe said “answer in German” to all.", None, LONG) is None
+    assert pairs.defect(f"{'Consider the pump and its parts and all that belongs to them, ' * 8} and then answer in German: {passage}", None, de) is None
+    assert pairs.defect("La valvola è una parte della pompa. Perché è importante?", None, "La valvola tiene la pressione nei limiti ed è importante per la tenuta della pompa.") is None
+    assert pairs.defect("Pourquoi la vanne est-elle importante pour la pompe ?", None, "La valvola tiene la pressione nei limiti ed è importante anche per la tenuta.") == "wrong_language"
+
+
+def test_announced_lists_anywhere():
+    lead = "The pump has been looked at from all sides, and the valve as well, before this answer was written down for you. "
+    short = "There are three points.\n1. The first is this.\n2. The second is that."
+    assert pairs.defect(EN, None, lead + short) == "truncated"
+    assert pairs.defect(EN, None, lead + short + "\n3. The third is it.") is None
+    assert pairs.defect(EN, None, lead + "There are three points in it. They are not given here.\n1. A list of two.\n2. It is whole.") is None
+
+
+def test_refusals_are_read_to_the_end():
+    refusal, other = "I cannot answer this question. " * 200, "The valve is shut at night. " * 80
+    assert pairs.defect(EN, None, refusal + other) == pairs.defect(EN, None, other + refusal) == "refusal"
+    assert pairs.defect(EN, None, "Answering that would breach my policy, so no reply will be given.") == "refusal"
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
 def test_lcs_against_the_table(a, b):
