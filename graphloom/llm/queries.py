@@ -10,7 +10,7 @@ from graphloom.llm.tokens import count_tokens
 from graphloom.session import cut_lineage, read_table
 
 
-def _split(spark: SparkSession, folder: str) -> DataFrame:
+def _split(spark: SparkSession, folder: str, keep_limit: bool = False) -> DataFrame:
     """Source blocks with their profile's limits, split. A block without a profile takes `default`, and
     so does one whose profile is unknown."""
     blocks = read_table(spark, folder, "source_blocks").select("block_id", "text", "outline_path", "profile_id")
@@ -22,6 +22,7 @@ def _split(spark: SparkSession, folder: str) -> DataFrame:
     profile = F.coalesce(F.nullif(key(F.col("profile_id")), F.lit("")), F.lit("default"))
     joined = blocks.withColumn("_profile", profile).join(F.broadcast(options), "_profile", "left")
     limit, lap = (F.coalesce(F.col(f"_o.{c}"), F.lit(default[c] if default else None)) for c in ("target_tokens", "overlap_tokens"))
+    joined = joined.withColumn("target_tokens", limit) if keep_limit else joined
     return splitting.split_blocks(joined, "text", limit, lap)
 
 
@@ -35,6 +36,26 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.explode_pieces(_split(spark, folder), ["block_id", "outline_path"])
 
 
+def p1_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each oversized block's pieces are within the limit, parts of the text in order, and leave
+    nothing but white space out; with the whole text's tokens and the block's limit."""
+    split = _split(spark, folder, keep_limit=True)
+    blank = lambda t: F.length(F.regexp_replace(t, r"[\p{Z}\s\ufeff]", "")) == 0
+    end = lambda p: p["start"] + F.length(p["text"])
+    part = lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))
+    before = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("text"))), F.slice("pieces", F.lit(1), F.size("pieces") - 1))
+    steps = F.arrays_zip(before.alias("b"), F.col("pieces").alias("p"))
+    last = F.element_at("pieces", -1)
+    return split.select(
+        "block_id",
+        splitting.token_count(F.col("text")).alias("n_tokens"),
+        "target_tokens",
+        F.forall("pieces", lambda p: splitting.token_count(p["text"]) <= F.col("target_tokens")).alias("in_limit"),
+        F.forall(steps, lambda s: (s["p"]["start"] >= s["b"]["start"]) & (part(s["p"]["start"], end(s["p"])) == s["p"]["text"])).alias("in_order"),
+        (F.forall(steps, lambda s: blank(part(end(s["b"]), s["p"]["start"]))) & blank(part(end(last), F.length("text")))).alias("whole"),
+    )
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Responses with a defect and its type."""
     return pairs.broken_pairs(
@@ -130,6 +151,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_checks": p1_checks,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
@@ -143,10 +165,14 @@ QUERIES = {
 
 _TOKENS = "greatest(1, len(regexp_replace({0}, '[^㐀-鿿]', '', 'g')) + ceil((len({0}) - len(regexp_replace({0}, '[^㐀-鿿]', '', 'g'))) / 4))"
 
-SQL = {
-    "p1_found": rf"""WITH o AS (SELECT lower(trim(profile_id)) AS p, target_tokens AS t FROM pipeline_options),
+_BLOCKS = r"""WITH o AS (SELECT lower(trim(profile_id)) AS p, target_tokens AS t FROM pipeline_options),
         b AS (SELECT DISTINCT ON (block_id) block_id, text, coalesce(nullif(lower(trim(profile_id)), ''), 'default') AS p FROM source_blocks),
-        x AS (SELECT block_id, text, coalesce(o.t, (SELECT t FROM o WHERE p = 'default')) AS t FROM b LEFT JOIN o ON o.p = b.p),
+        x AS (SELECT block_id, text, coalesce(o.t, (SELECT t FROM o WHERE p = 'default')) AS t FROM b LEFT JOIN o ON o.p = b.p)"""
+
+SQL = {
+    "p1_checks": _BLOCKS + rf""" SELECT block_id, {_TOKENS.format("text")}::INT AS n_tokens, t AS target_tokens, true AS in_limit, true AS in_order, true AS whole
+        FROM x WHERE {_TOKENS.format("text")} > t AND len(regexp_replace(text, '[\p{{Z}}\s]', '', 'g')) > 0""",
+    "p1_found": _BLOCKS + rf""",
         y AS (SELECT block_id, t, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([。！？])', '\1' || chr(10), 'g'), '([.!?])([\p{{Z}}\s])', '\1' || chr(10) || '\2', 'g'), '[\r\n]+'),
           lambda s: regexp_replace(s, '^[\p{{Z}}\s]+|[\p{{Z}}\s]+$', '', 'g')) AS parts FROM x WHERE {_TOKENS.format("text")} > t AND len(regexp_replace(text, '[\p{{Z}}\s]', '', 'g')) > 0)
         SELECT block_id, CASE WHEN len(list_filter(parts, lambda s: {_TOKENS.format("s")} > t)) > 0 THEN 'hard' ELSE 'natural' END AS cut_kind FROM y""",

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 _CJK = "㐀-鿿"
 _FILL = "﷐"
 _SPACE = r"[\p{Z}\s﻿]"
-#: A stretch ends at line breaks, after 。！？, and after . ! ? where white space follows.
-_STRETCH = r"(?s)[\r\n]+|(?:(?!(?<=[。！？])|(?<=[.!?])(?=[\p{Z}\s]))[^\r\n])+"
+#: A core, with the white space behind it, that ends where a stretch ends: at a line break, after 。！？, or
+#: after . ! ? where white space follows.
+_NATURAL = rf"(?s)(?:[。！？]{_SPACE}*|[.!?]{_SPACE}+|[\r\n]{_SPACE}*)\z"
 
 
 def token_count(text: Column) -> Column:
@@ -31,13 +32,6 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
-def stretches(text: Column) -> Column:
-    """The non-blank stretches of text without white space at their ends."""
-    cut = F.regexp_replace(text, r"([。！？]|[.!?](?=[\p{Z}\s])|[\r\n])", "$1\n")
-    parts = F.transform(F.split(cut, r"[\r\n]+"), _trim)
-    return F.filter(parts, lambda s: F.length(s) > 0)
-
-
 def _pattern(limit: Column, core: Column) -> Column:
     """Alternatives by strength: paragraph, line, sentence, with at least half of the limit used; then
     a line or sentence end anywhere within core, then within the whole limit; white space; characters.
@@ -74,16 +68,17 @@ def split_blocks(blocks: DataFrame, text: str, limit: Column, overlap: Column) -
     sentence fits the limit only without that overlap, the overlap gives way, not the sentence. All
     text but white space between pieces is in some piece.
 
-    cut_kind is `hard` where a single stretch exceeds the limit, so that cutting inside it can't be
-    avoided, else `natural`. Blocks with null, empty or blank text, or a null limit, are never
-    oversized. A null overlap is 0; an overlap of more than half the limit counts as half.
-    Private names are used; other columns of blocks pass through.
+    cut_kind is `hard` where some cut is inside a stretch, else `natural`. A core ends inside a stretch
+    only where no stretch ends within the limit, so that is where a single stretch exceeds the limit and
+    cutting it can't be avoided. Blocks with null, empty or blank text, or a null limit, are never
+    oversized. A null overlap is 0; an overlap of the limit or more is one token less than the limit, as
+    each piece has to bring something new. Private names are used; other columns of blocks pass through.
     """
     rows = (
         blocks.withColumns({"_limit": limit.cast("int"), "_size": token_count(F.col(text))})
         .filter((F.col("_size") > F.col("_limit")) & (F.col("_limit") > 0) & (F.length(_trim(F.col(text))) > 0))
         .withColumn(
-            "_lap", F.least(F.greatest(F.coalesce(overlap.cast("int"), F.lit(0)), F.lit(0)), F.floor(F.col("_limit") / 2).cast("int"))
+            "_lap", F.least(F.greatest(F.coalesce(overlap.cast("int"), F.lit(0)), F.lit(0)), F.col("_limit") - 1)
         )
     )
     full, lap = 4 * F.col("_limit"), 4 * F.col("_lap")
@@ -91,29 +86,34 @@ def split_blocks(blocks: DataFrame, text: str, limit: Column, overlap: Column) -
     rows = rows.withColumn("_shadow", shadow).withColumn(
         "_cores", F.regexp_extract_all("_shadow", _pattern(full, full - lap), F.lit(0))
     )
-    # the offset of each core in the text, by a running sum over the array
+    # where each core begins, in the text and in its shadow, by a running sum over the array
+    begin = F.struct(F.lit(0).alias("text"), F.lit(0).alias("shadow"))
     starts = F.aggregate(
         "_cores",
-        F.array(F.lit(0)),
-        lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(_strip_fill(c)))),
+        F.array(begin),
+        lambda acc, c: F.concat(
+            acc,
+            F.array(F.struct((F.element_at(acc, -1)["text"] + F.length(_strip_fill(c))).alias("text"), (F.element_at(acc, -1)["shadow"] + F.length(c)).alias("shadow"))),
+        ),
     )
     rows = rows.withColumn("_starts", starts)
 
     def piece(core: Column, i: Column) -> Column:
-        # two neighbouring cores exceed any overlap, so the four before reach far enough
         body = _trim(core)
         lead = F.regexp_extract(core, f"^{_SPACE}*", 0)
-        before = F.concat(F.array_join(F.slice("_cores", F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4))), ""), lead)
-        back = F.when(i == 0, 0).otherwise(F.least(lap, full - F.length(body)))
+        at = F.get("_starts", i)
+        # the lookback reaches over as many cores as the overlap takes
+        place = at["shadow"] + F.length(lead)
+        back = F.when(i == 0, 0).otherwise(F.least(lap, full - F.length(body), place))
         # a lookback that begins inside a character's fillers begins after them
-        head = F.regexp_replace(F.right(before, back), f"^(?:{_FILL}|{_SPACE})+", "")
-        start = F.get("_starts", i) + F.length(lead) - F.length(_strip_fill(head))
+        head = F.regexp_replace(F.substring(F.col("_shadow"), place - back + 1, back), f"^(?:{_FILL}|{_SPACE})+", "")
+        start = at["text"] + F.length(lead) - F.length(_strip_fill(head))
         return F.struct(start.alias("start"), _strip_fill(F.concat(head, body)).alias("text"))
 
-    over = F.exists(stretches(F.col(text)), lambda s: _units(s) > full)
+    inside = F.exists(F.slice("_cores", F.lit(1), F.greatest(F.size("_cores") - 1, F.lit(0))), lambda c: ~c.rlike(_NATURAL))
     rows = rows.withColumns(
         {
-            "cut_kind": F.when(over, "hard").otherwise("natural"),
+            "cut_kind": F.when(inside, "hard").otherwise("natural"),
             "pieces": F.filter(F.transform("_cores", piece), lambda p: F.length(p["text"]) > 0),
         }
     )

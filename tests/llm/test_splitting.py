@@ -34,7 +34,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("limit, lap", [(40, 4), (25, 0), (60, 59), (10, 3)])
+@pytest.mark.parametrize("limit, lap", [(40, 4), (25, 0), (60, 59), (10, 3), (30, 20), (12, 90)])
 def test_pieces_round_trip(spark, limit, lap):
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(TEXTS)], "block_id int, text string, pieces_note string")
     got = {r.block_id: r for r in split_blocks(df, "text", F.lit(limit), F.lit(lap)).collect()}
@@ -48,7 +48,13 @@ def test_pieces_round_trip(spark, limit, lap):
             assert t[p.start : p.start + len(p.text)] == p.text and tokens(p.text) <= limit and p.text == p.text.strip(SPACE)
             assert not t[end : p.start].strip(SPACE)
             if n:
-                assert tokens(t[p.start : end]) <= min(lap, limit // 2) + 1 or p.start >= end
+                assert tokens(t[p.start : end]) <= min(lap, limit - 1) + 1 or p.start >= end
+                # the overlap is whole but for white space at its beginning, or the piece is full
+                got_lap = tokens(t[p.start : end]) if p.start < end else 0
+                room = limit - tokens(t[end : p.start + len(p.text)])
+                head = t[:end].rstrip(SPACE)
+                cut = t[max(0, p.start - 8) : p.start]
+                assert got_lap >= min(min(lap, limit - 1), room) - 1 or not cut.strip(SPACE) or p.start == 0 or head == "", (i, n, got_lap, lap, room)
             end = p.start + len(p.text)
             if r.cut_kind == "natural" and n < len(r.pieces) - 1:
                 following = t[end : end + 1]
