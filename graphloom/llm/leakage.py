@@ -1,7 +1,7 @@
 """Evaluation texts inside a corpus: multi-pattern search with block shifts, then alignment.
 
 Texts are folded to letters and digits, so that layout, marks, width, case and punctuation don't
-count. Test strings of equal length m are cut from every test sentence. The search follows Wu and
+count, nor do accents and ligatures. Test strings of equal length m are cut from every test sentence. The search follows Wu and
 Manber: the last block of each window is looked up in a shift table, which is zero only where some
 test string ends in that block; windows with a shift above zero are skipped; for the others a hash of
 the whole window selects the bucket of test strings, and direct comparison confirms. All windows of
@@ -11,6 +11,8 @@ with the text around them, which allows for changed words and inserted marks.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 import unicodedata
 from collections import defaultdict
@@ -34,7 +36,7 @@ HELD, RUN, RUN_HAN = 0.75, 4, 2
 SHORT, SHORT_HAN, HELD_SHORT = 45, 20, 0.9
 #: Letters that may stand between two consecutive sentences (page marks, notes).
 GAP = 60
-#: Evaluation items taken into one matcher; more items make more matchers, each read in turn.
+#: Evaluation items in one matcher; more items make more matchers, and the corpus is read for each.
 ITEMS_PER_BLOCK = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 1 << 22
@@ -43,30 +45,25 @@ _HAN_TEXT = re.compile(r"[㐀-鿿]")
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?])\s+(?![a-zà-ÿ])|\n+")
 
 
-def _fold_table() -> np.ndarray:
-    """Code point to folded code point for the basic plane; 0 drops a character."""
-    table = np.zeros(0x10000, dtype=np.uint32)
-    for c in range(0x10000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        folded = unicodedata.normalize("NFKC", chr(c)).lower()
-        if folded and folded[0].isalnum():
-            table[c] = ord(folded[0]) if ord(folded[0]) < 0x10000 else 0
-    return table
-
-
-_FOLD: np.ndarray | None = None
+_ALNUM: np.ndarray | None = None
 
 
 def fold(text: str) -> np.ndarray:
-    """Folded code points of text; characters beyond the basic plane are kept as they are."""
-    global _FOLD
-    if _FOLD is None:
-        _FOLD = _fold_table()
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    low = _FOLD[np.minimum(raw, 0xFFFF)]
-    out = np.where(raw < 0x10000, low, raw)
-    return out[out != 0]
+    """Code points of the letters and digits of text in compatibility form, taken apart: ligatures and
+    full-width letters become plain letters, accents go, composed or not, and case is folded away."""
+    global _ALNUM
+    if text.isascii():
+        low = text.lower().encode("ascii")
+        raw = np.frombuffer(low, dtype=np.uint8).astype(np.uint32)
+    else:
+        low = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
+        raw = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if _ALNUM is None:
+        _ALNUM = np.array([chr(c).isalnum() for c in range(0x10000)])
+    keep = _ALNUM[np.minimum(raw, 0xFFFF)]
+    for i in np.flatnonzero(raw > 0xFFFF).tolist():
+        keep[i] = chr(int(raw[i])).isalnum()
+    return raw[keep]
 
 
 def _text(codes: np.ndarray) -> str:
@@ -108,6 +105,7 @@ class _Class:
         uses = [self.strings[order[i]] for i in rank.tolist()]
         self.first = np.cumsum([0, *map(len, uses)])
         self.uses = np.array([u for us in uses for u in us], dtype=np.int64).reshape(-1, 3)
+        del self.strings
 
     @staticmethod
     def _mix(rows: np.ndarray) -> np.ndarray:
@@ -176,12 +174,32 @@ class Matcher:
                     kind.strings[s[i : i + kind.m]].append((index, zone, i))
             if zones < LEAST_ZONES or count <= 0:
                 self.weak.add(index)
+        self._join_weak(kinds)
         self.latin.close()
         self.han.close()
         self.follows = np.array([i + 1 < len(self.item) and self.item[i] == self.item[i + 1] for i in range(len(self.item))], dtype=bool)
         self.weak_next = np.array([i + 1 in self.weak for i in range(len(self.item))], dtype=bool)
         self.weak_before = np.array([i - 1 in self.weak for i in range(len(self.item))], dtype=bool)
 
+    def _join_weak(self, kinds: list[_Class]) -> None:
+        """Test strings of two neighbours that are both too short for ones of their own: strings of their
+        joined letters, or these as a whole where they are shorter than a test string."""
+        self.joined: list[_Class] = []
+        by_size: dict[tuple[int, int], _Class] = {}
+        for i in sorted(self.weak):
+            if i + 1 not in self.weak or self.item[i] != self.item[i + 1]:
+                continue
+            both = self.sentences[i] + self.sentences[i + 1]
+            if not self.sentences[i] or not self.sentences[i + 1]:
+                continue
+            m = min(kinds[i].m, len(both))
+            kind = by_size.setdefault((m, min(m, kinds[i].block)), _Class(m, min(m, kinds[i].block)))
+            for at in range(0, len(both) - m + 1):
+                kind.strings[both[at : at + m]].append((i, 0, at))
+        for kind in by_size.values():
+            kind.close()
+            self.joined.append(kind)
+
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """(index of the text, item id) for each text that holds two consecutive sentences of an item."""
         if not self.sentences:
@@ -230,6 +248,13 @@ class Matcher:
                 text[d] = _text(folded[d])
             return self._holds(self.sentences[s], text[d], at)
 
+        for kind in self.joined:
+            start, rank = kind.search(codes)
+            hits = {(int(np.searchsorted(begin, at, side="right")) - 1, int(s), int(at - offset)) for at, r in zip(start.tolist(), rank.tolist()) for s, _, offset in kind.uses[kind.first[r] : kind.first[r + 1]].tolist()}
+            for d, s, at in hits:
+                own = at - int(begin[d])
+                if (d, self.item[s]) not in found and holds(d, s, own) and holds(d, s + 1, own + len(self.sentences[s])):
+                    found.add((d, self.item[s]))
         for (d, s), here in near.items():
             item = self.item[s]
             if (d, item) in found:
@@ -262,21 +287,46 @@ class Matcher:
         return sum(b.size for b in blocks if b.size >= run) >= need * len(sentence)
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+#: The last matcher that this worker has unpacked, by its name.
+_UNPACKED: dict[str, Matcher] = {}
+
+
+def _unpacked(name: str, tables: bytes) -> Matcher:
+    if name not in _UNPACKED:
+        _UNPACKED.clear()
+        _UNPACKED[name] = pickle.loads(tables)
+    return _UNPACKED[name]
+
+
+def matchers(items: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """(block, tables): the matchers of all items (item_id, item_text), some per_block items in each, built
+    on the executors and packed. An item is in the block of its id's hash."""
+    rows = items.select("item_id", "item_text").filter("item_text is not null").distinct()
+    blocks = max(1, -(-rows.count() // per_block))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        made = Matcher(sorted(zip(group["item_id"].tolist(), group["item_text"].tolist())))
+        return pd.DataFrame({"block": [int(group["block"].iloc[0])], "tables": [pickle.dumps(made, protocol=5)]})
+
+    return rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(build, "block int, tables binary")
+
+
+def leaks(documents: DataFrame, items: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """(doc_id, item_id): the document holds at least two full consecutive sentences of the item.
 
     documents: doc_id, text. items: item_id, item_text; the first sentence or line of an item is its
     instruction and is no passage. Null or empty texts hold nothing; repeated rows come out once. The
-    documents aren't shuffled: the items, in blocks of ITEMS_PER_BLOCK, go to them.
+    documents aren't shuffled: the items go to them in blocks of about per_block, each built once. The
+    driver passes the blocks on one at a time, so it holds one, of some 100 MB, however many there are.
     """
     spark = documents.sparkSession
-    rows = sorted({(r[0], r[1]) for r in items.select("item_id", "item_text").filter("item_text is not null").toLocalIterator()})
     made = None
-    for at in range(0, max(1, len(rows)), ITEMS_PER_BLOCK):
-        block = spark.sparkContext.broadcast(rows[at : at + ITEMS_PER_BLOCK])
+    for row in matchers(items, per_block).toLocalIterator():
+        block = spark.sparkContext.broadcast(bytes(row.tables))
+        name = hashlib.sha256(row.tables).hexdigest()
 
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(block.value)
+        def search(batches: Iterator[pd.DataFrame], block=block, name=name) -> Iterator[pd.DataFrame]:
+            matcher = _unpacked(name, block.value)
             for batch in batches:
                 ids = batch["doc_id"].tolist()
                 found = list(matcher.documents([t if isinstance(t, str) else None for t in batch["text"]]))
@@ -284,4 +334,4 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         part = documents.select("doc_id", "text").mapInPandas(search, "doc_id bigint, item_id bigint")
         made = part if made is None else made.unionByName(part)
-    return made.distinct()
+    return made.distinct() if made is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint")

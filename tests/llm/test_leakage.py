@@ -50,13 +50,13 @@ def test_whole_partly_and_altered_passages(spark, case):
     assert leakage.leaks(d, e.limit(0)).count() == 0 and leakage.leaks(d.limit(0), e).count() == 0
 
 
-def test_items_in_blocks_give_the_same(spark, case, monkeypatch):
+def test_items_in_blocks_give_the_same(spark, case):
     _, items = case
     d = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
     e = spark.createDataFrame(items, "item_id long, item_text string")
     whole = {tuple(r) for r in leakage.leaks(d, e).collect()}
-    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 7)
-    assert {tuple(r) for r in leakage.leaks(d, e).collect()} == whole == {(i, i) for i, _ in items}
+    assert leakage.matchers(e, 7).count() > 1
+    assert {tuple(r) for r in leakage.leaks(d, e, per_block=7).collect()} == whole == {(i, i) for i, _ in items}
 
 
 def test_search_finds_every_occurrence(case):
@@ -66,5 +66,24 @@ def test_search_finds_every_occurrence(case):
     text = leakage._text(codes)
     for kind in (m.latin, m.han):
         start, rank = kind.search(codes)
+        known = {leakage._text(row) for row in kind.codes}
         got = {(a, leakage._text(kind.codes[r])) for a, r in zip(start.tolist(), rank.tolist())}
-        assert got == {(i, text[i : i + kind.m]) for i in range(len(text)) if text[i : i + kind.m] in kind.strings}
+        assert got == {(i, text[i : i + kind.m]) for i in range(len(text)) if text[i : i + kind.m] in known}
+
+
+def test_ligatures_accents_and_composition_do_not_matter(case):
+    import unicodedata
+
+    de = "Lesen Sie den Text. Der fünfte Prüfling öffnete die äußere Schleuse über dem großen Kessel. Danach hörte der Wärter das Geräusch der schweren Flügeltür."
+    en = "Read this. The first officer offered a firm confirmation of the final figures in the file. The staff then filed the affidavit with the chief auditor."
+    m = leakage.Matcher([(1, de), (2, en)])
+    spaced = en.replace("ffi", "\ufb03").replace("fi", "\ufb01").replace("ff", "\ufb00")
+    docs = [unicodedata.normalize("NFD", de), unicodedata.normalize("NFC", de), de.replace("ß", "ss"), spaced, en.replace("e", "e\u200b")]
+    assert list(m.documents(docs)) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)]
+    assert leakage._text(leakage.fold("\ufb01rst \ufb03 Ｆｕｌｌ \U0001f600 Stra\u00dfe")) == "firstffifullstrasse"
+
+
+def test_two_short_neighbours(case):
+    m = leakage.Matcher([(1, "Say what you see. Cats sleep. Dogs bark. Birds fly."), (2, "读下文。猫睡。狗叫。鸟飞。"), (3, "Go. A b. C d.")])
+    docs = ["At night cats  sleep -- dogs bark and all is well.", "At night cats sleep, and then the dogs bark.", "夜里猫睡，狗叫。", "夜里猫睡了狗也叫", "x dogs bark, birds fly", "a b c d", None, ""]
+    assert list(m.documents(docs)) == [(0, 1), (2, 2), (4, 1), (5, 3)]
