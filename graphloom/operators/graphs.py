@@ -136,6 +136,23 @@ def communities(edges: DataFrame, levels: int = 2, max_size: int = 100, rounds:
     return out
 
 
+def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row: communities, weight and modularity of a partition of an undirected graph.
+
+    edges: src, dst, weight; loops and edges with an end that membership (id, community; one row per id)
+    doesn't have are left out. Without any weight modularity is 0.
+    """
+    a = membership.select(F.col("id").alias("src"), F.col("community").alias("_a"))
+    b = membership.select(F.col("id").alias("dst"), F.col("community").alias("_b"))
+    rows = lookup_inner(lookup_inner(edges.filter("src <> dst"), a, ["src"]), b, ["dst"])
+    ends = F.explode(F.array(F.struct(F.col("_a").alias("c"), F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0.0).alias("i")), F.struct(F.col("_b").alias("c"), F.lit(0.0).alias("i"))))
+    each = rows.select(ends.alias("_e"), "weight").groupBy("_e.c").agg(F.sum("weight").alias("k"), F.sum("_e.i").alias("i"))
+    # with m the whole weight: the sum over communities of i / m - (k / 2m)^2
+    out = each.agg(F.count(F.lit(1)).alias("communities"), (F.coalesce(F.sum("k"), F.lit(0.0)) / 2).alias("weight"), F.sum("i").alias("_i"), F.sum(F.col("k") * F.col("k")).alias("_k2"))
+    value = F.try_divide("_i", F.col("weight")) - F.try_divide(F.col("_k2"), 4 * F.col("weight") * F.col("weight"))
+    return out.select("communities", "weight", F.coalesce(F.round(value, 6), F.lit(0.0)).alias("modularity"))
+
+
 def community_report(membership: DataFrame, group: str, node: str, first: int = 10) -> DataFrame:
     """(group, n_members, members): the first names of each group, joined, as the text of a report.
 

@@ -102,3 +102,10 @@ def schema_difference(left: DataFrame, right: DataFrame) -> dict[str, list[str]]
     """Columns that right lacks, has beyond left's, or has in another type."""
     a, b = dict(left.dtypes), dict(right.dtypes)
     return {"missing": sorted(a.keys() - b.keys()), "extra": sorted(b.keys() - a.keys()), "changed": sorted(k for k in a.keys() & b.keys() if a[k] != b[k])}
+
+
+def numbered(items: DataFrame, scope: list[str], order: str, text: str) -> DataFrame:
+    """(scope…, list): the texts of each scope as lines `1. text`, in order; nulls are left out. A list is as
+    long as its scope's texts together."""
+    rows = items.filter(F.col(text).isNotNull()).groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_l"))
+    return rows.select(*scope, F.array_join(F.transform("_l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["t"])), "\n").alias("list"))

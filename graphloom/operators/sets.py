@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.lists import renumber
 from graphloom.operators.merge import keyed_merge
 
 
@@ -51,6 +54,20 @@ def relation(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def equal_in_order(left: DataFrame, right: DataFrame, key: list[str], seq: str, other_seq: str | None = None) -> DataFrame:
+    """One row: equal, whether both sets have the same keys in the same order (left by seq, right by
+    other_seq or seq). Two empty sets are equal. Places are compared in one join, sorted by range."""
+    a = renumber(left.select(*key, F.col(seq).alias("_o")), [F.col("_o"), *map(F.col, key)]).select("pos", F.struct(*key).alias("_a"))
+    b = renumber(right.select(*key, F.col(other_seq or seq).alias("_o")), [F.col("_o"), *map(F.col, key)]).select("pos", F.struct(*key).alias("_b"))
+    return a.join(b, "pos", "full").agg((F.count(F.when(~F.col("_a").eqNullSafe(F.col("_b")), 1)) == 0).alias("equal"))
+
+
+def layers(rows: list[DataFrame], key: str, value: str) -> DataFrame:
+    """(key, value) of several layers in one: a key's value of the first layer that has it, the smallest there."""
+    every = [r.select(key, value, F.lit(i).alias("_layer")) for i, r in enumerate(rows)]
+    return reduce(DataFrame.unionByName, every).filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct("_layer", value)).alias(value))
+
+
 def add(items: DataFrame, more: DataFrame, key: list[str], strategy: str = "keep_existing") -> DataFrame:
     """items with more merged in."""
     return union(items, more, key, strategy)
