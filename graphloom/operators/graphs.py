@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.lookup import known_hot, lookup_inner
@@ -84,31 +84,37 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
-def _propagate(edges: DataFrame, rounds: int) -> DataFrame:
-    """(id, label) by label propagation over weighted undirected edges (src, dst, weight), both ways."""
+def _propagate(edges: DataFrame, least_gain: float) -> DataFrame:
+    """(id, label) by label propagation over weighted undirected edges (src, dst, weight), both ways.
+
+    Rounds go on as long as each brings more than least_gain of the whole weight inside labels, which has
+    to end; the labels before the first that doesn't are the result.
+    """
     labels = cut_lineage(edges.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
-        votes = lookup_inner(edges, labels.withColumnRenamed("id", "dst"), ["dst"]).groupBy("src", "label").agg(F.sum("weight").alias("w"))
+    inside, hot = -1.0, known_hot(edges, ["dst"])
+    total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    before = labels
+    while True:
+        votes = lookup_inner(edges, labels.withColumnRenamed("id", "dst"), ["dst"], hot).groupBy("src", "label").agg(F.sum("weight").alias("w"))
         # a node's own label counts half a link, which ends two nodes' endless exchange of labels
-        own = labels.select(F.col("id").alias("src"), "label", F.lit(0.5).alias("w"))
-        votes = votes.unionByName(own).groupBy("src", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
-        changed = best.join(labels.withColumnRenamed("label", "was"), "id").filter("label <> was")
-        best = cut_lineage(best)
-        done = not changed.take(1)
-        labels = best
-        if done:
-            break
-    return labels
+        own = labels.select(F.col("id").alias("src"), "label", F.lit(0.0).alias("w"), F.lit(0.5).alias("o"))
+        votes = votes.withColumn("o", F.lit(0.0)).unionByName(own).groupBy("src", "label").agg(F.sum("w").alias("w"), F.sum("o").alias("o"))
+        best = F.min_by("label", F.struct(-(F.col("w") + F.col("o")), "label"))
+        following = cut_lineage(votes.groupBy(F.col("src").alias("id")).agg(best.alias("label"), F.max(F.when(F.col("o") > 0, F.col("w"))).alias("w")))
+        same = following.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        if inside >= 0 and same <= inside + least_gain * total:
+            return before
+        inside, before, labels = same, labels, following.select("id", "label")
 
 
-def communities(edges: DataFrame, levels: int = 2, max_size: int = 100, rounds: int = 8) -> DataFrame:
+def communities(edges: DataFrame, levels: int = 2, max_size: int = 100, least_gain: float = 0.002) -> DataFrame:
     """(id, level, community): a hierarchy of communities over edges (src, dst, weight).
 
     Level 0 is label propagation over the whole graph, ties by the smaller label; each further level
     cuts the communities of more than max_size nodes by propagation over their own edges, and carries
     the others along. Community names are LEVEL_<level>_CID_<smallest member>. Nodes without an edge
-    are in none. The result is deterministic.
+    are in none. Propagation ends where a round gains no more than least_gain of the weight. The result
+    is deterministic.
     """
     both = edges.filter(F.col("src") != F.col("dst")).select("src", "dst", "weight")
     both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -116,7 +122,7 @@ def communities(edges: DataFrame, levels: int = 2, max_size: int = 100, rounds:
     made, inside = [], both
     previous = None
     for level in range(levels):
-        labels = _propagate(inside, rounds)
+        labels = _propagate(inside, least_gain)
         if previous is not None:
             # nodes whose links were all cut away keep their community as one of their own
             labels = previous.join(labels, "id", "left").select("id", F.coalesce("label", "_whole", "id").alias("label"))
@@ -153,28 +159,49 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return out.select("communities", "weight", F.coalesce(F.round(value, 6), F.lit(0.0)).alias("modularity"))
 
 
-def community_report(membership: DataFrame, group: str, node: str, first: int = 10) -> DataFrame:
-    """(group, n_members, members): the first names of each group, joined, as the text of a report.
+def _first_names(rows: DataFrame, group: str, first: int) -> DataFrame:
+    """(group, _n, _some): number of the names _m of each group and its first ones, which are kept while
+    aggregating, so that a group of any size is a few names."""
+    part = F.pmod(F.xxhash64("_m"), F.lit(64))
+    window = Window.partitionBy(group, "_part").orderBy("_m")
+    # a rank within a part of the group, whose first rows Spark keeps before the shuffle (WindowGroupLimit)
+    top = rows.select(group, "_m", part.alias("_part")).withColumn("_r", F.row_number().over(window)).filter(F.col("_r") <= first)
+    some = top.groupBy(group).agg(F.slice(F.array_sort(F.collect_list("_m")), 1, first).alias("_some"))
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).join(some, group)
 
-    The smallest names are kept while aggregating, so a group of any size is a few names.
+
+def community_report(membership: DataFrame, group: str, node: str, first: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """(group, n_members, members) and, with edges (src, dst) inside groups, (n_relations, relations): sizes
+    and the first members and relations of each group in order, as the text of a report.
+
+    membership has one row per node. Relations are distinct edges, listed as lines `src -> dst` under the
+    group of their source.
     """
-    names = membership.select(group, F.col(node).cast("string").alias("_m"))
-    top = names.groupBy(group).agg(F.count(F.lit(1)).alias("n_members"))
-    ranked = names.groupBy(group, F.pmod(F.xxhash64("_m"), F.lit(64)).alias("_part")).agg(F.slice(F.array_sort(F.collect_set("_m")), 1, first).alias("_some"))
-    merged = ranked.groupBy(group).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, first).alias("_some"))
-    return top.join(merged, group).select(group, "n_members", F.array_join("_some", ", ").alias("members"))
+    names = _first_names(membership.select(group, F.col(node).cast("string").alias("_m")), group, first)
+    out = names.select(group, F.col("_n").alias("n_members"), F.array_join("_some", ", ").alias("members"))
+    if edges is None:
+        return out
+    where = membership.select(F.col(node).alias("src"), group)
+    lines = lookup_inner(edges.select("src", "dst").distinct(), where, ["src"]).select(group, F.concat("src", F.lit(" -> "), "dst").alias("_m"))
+    told = _first_names(lines, group, first).select(group, F.col("_n").alias("n_relations"), F.array_join("_some", "\n").alias("relations"))
+    return out.join(told, group, "left").fillna({"n_relations": 0, "relations": ""})
 
 
 def connectivity_impact(nodes: DataFrame, kept: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row: components with the kept edges and with the rejected ones as well, and the nodes that
-    are isolated only because edges were rejected. nodes: id; edges: src, dst."""
+    are isolated only because edges were rejected. nodes: id (strings, one row each); edges: src, dst.
+
+    Both graphs are labelled in one run, side by side under ids of their own.
+    """
     everything = kept.select("src", "dst").unionByName(rejected.select("src", "dst"))
-    count = lambda edges: connected_components(nodes, edges).agg(F.countDistinct("component")).first()[0]
-    ends = lambda edges: edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    isolated = nodes.join(ends(everything), "id", "left_semi").join(ends(kept), "id", "left_anti").count()
-    return nodes.sparkSession.createDataFrame(
-        [(count(kept), count(everything), isolated)], "components_kept long, components_all long, newly_isolated long"
-    )
+    own = lambda side, c: F.concat(F.lit(side), c)
+    sides = [(edges.select(own(side, F.col("src")).alias("src"), own(side, F.col("dst")).alias("dst"))) for side, edges in (("k", kept), ("a", everything))]
+    vertices = nodes.select(F.explode(F.array(own("k", F.col("id")), own("a", F.col("id")))).alias("id"))
+    labels = connected_components(vertices, sides[0].unionByName(sides[1])).select("component").distinct()
+    ends = lambda edges: edges.filter("src <> dst").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    isolated = ends(everything).join(ends(kept), "id", "left_anti").join(nodes, "id", "left_semi").select(F.lit("i").alias("component"))
+    count = lambda side: F.count(F.when(F.left("component", F.lit(1)) == side, 1))
+    return labels.unionByName(isolated).agg(count("k").alias("components_kept"), count("a").alias("components_all"), count("i").alias("newly_isolated"))
 
 
 def relabel(rows: DataFrame, mapping: DataFrame, columns: list[str], old: str = "old", new: str = "new") -> DataFrame:

@@ -10,7 +10,7 @@ from graphloom.functions.keys import clean_key
 from graphloom.operators import chunks, graphs, lists, merge, quality, search, sets
 from graphloom.operators.hierarchy import hierarchy
 from graphloom.plans.integrity import _TREE, _clean, _outline_tree, current_outlines
-from graphloom.session import read_table
+from graphloom.session import cut_lineage, read_table
 
 # ---------------------------------------------------------------- shared inputs
 
@@ -19,7 +19,9 @@ def _nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Course nodes, one row per record, keyed by package and normalised name. A confidence of NaN is no
     confidence, so it is null here."""
     rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"])
-    return rows.withColumns({"k": text.normal_name(F.col("node_name")), "confidence": F.nanvl("confidence", F.lit(None).cast("double"))})
+    if "confidence" in rows.columns:
+        rows = rows.withColumn("confidence", F.nanvl("confidence", F.lit(None).cast("double")))
+    return rows.withColumn("k", text.normal_name(F.col("node_name")))
 
 
 _NODES = "nodes AS (SELECT DISTINCT ON (record_id) * REPLACE (CASE WHEN NOT isnan(confidence) THEN confidence END AS confidence), regexp_replace(lower(node_name), '[^0-9a-z㐀-鿿]+', '', 'g') AS k FROM course_nodes)"
@@ -132,28 +134,6 @@ def merge_singleton(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- sets and lists
 
 
-def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    kept = merge.keyed_merge(_items(spark, folder), ["package_id", "k"], ["record_id"]).select("package_id", "k", "record_id", "node_name")
-    return kept.filter("record_id % 3 <> 0"), kept.filter("record_id % 2 = 0")
-
-
-def set_union(spark: SparkSession, folder: str) -> DataFrame:
-    a, b = _halves(spark, folder)
-    return sets.union(a.withColumn("node_name", F.upper("node_name")), b, ["package_id", "k"])
-
-
-def set_intersection(spark: SparkSession, folder: str) -> DataFrame:
-    return sets.intersection(*_halves(spark, folder), ["package_id", "k"])
-
-
-def set_difference(spark: SparkSession, folder: str) -> DataFrame:
-    return sets.difference(*_halves(spark, folder), ["package_id", "k"])
-
-
-def set_symmetric_difference(spark: SparkSession, folder: str) -> DataFrame:
-    return sets.symmetric_difference(*_halves(spark, folder), ["package_id", "k"])
-
-
 def _point_key(name: Column) -> Column:
     """normal_name, or the bytes of a name that has nothing it keeps, so that no name is without a key."""
     key = text.normal_name(name)
@@ -167,19 +147,19 @@ def _live_and_deleted(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     return points(rows.filter("deleted_at is null")), points(rows.filter("deleted_at is not null"))
 
 
-def set_union_whole(spark: SparkSession, folder: str) -> DataFrame:
+def set_union(spark: SparkSession, folder: str) -> DataFrame:
     return sets.union(*_live_and_deleted(spark, folder), ["package_id", "k"])
 
 
-def set_intersection_whole(spark: SparkSession, folder: str) -> DataFrame:
+def set_intersection(spark: SparkSession, folder: str) -> DataFrame:
     return sets.intersection(*_live_and_deleted(spark, folder), ["package_id", "k"])
 
 
-def set_difference_whole(spark: SparkSession, folder: str) -> DataFrame:
+def set_difference(spark: SparkSession, folder: str) -> DataFrame:
     return sets.difference(*_live_and_deleted(spark, folder), ["package_id", "k"])
 
 
-def set_symmetric_difference_whole(spark: SparkSession, folder: str) -> DataFrame:
+def set_symmetric_difference(spark: SparkSession, folder: str) -> DataFrame:
     return sets.symmetric_difference(*_live_and_deleted(spark, folder), ["package_id", "k"])
 
 
@@ -238,13 +218,6 @@ def graph_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.degrees(_edges(spark, folder))
 
 
-def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The accepted edges below .3 confidence that the SQL of two queries states, and their ends."""
-    e = _edges(spark, folder).filter("status = 'accepted' and confidence < 0.3 and edge_type <> 'related' and source is not null and target is not null")
-    e = e.select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e
-
-
 def _whole_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """All ids that a node, a shared concept or an edge names, and all edges with two ends as links."""
     e = _edges(spark, folder).select(clean_key(F.col("source")).alias("src"), clean_key(F.col("target")).alias("dst"))
@@ -254,10 +227,7 @@ def _whole_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def graph_components(spark: SparkSession, folder: str) -> DataFrame:
-    return graphs.connected_components(*_links(spark, folder))
-
-
-def graph_components_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of every node, shared concept and edge end."""
     return graphs.connected_components(*_whole_graph(spark, folder))
 
 
@@ -267,11 +237,10 @@ def graph_communities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_reports(spark: SparkSession, folder: str) -> DataFrame:
-    return graphs.community_report(graph_components(spark, folder), "component", "id")
-
-
-def graph_reports_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return graphs.community_report(graph_components_whole(spark, folder), "component", "id")
+    """Size, first members and first relations of every component."""
+    nodes, e = _whole_graph(spark, folder)
+    parts = cut_lineage(graphs.connected_components(nodes, e))
+    return graphs.community_report(parts, "component", "id", edges=e)
 
 
 def graph_induced(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,9 +250,10 @@ def graph_induced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_impact(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, e = _whole_graph(spark, folder)
-    by = F.pmod(F.crc32(F.concat_ws("|", "src", "dst")), F.lit(4))
-    return graphs.connectivity_impact(nodes, e.filter(by != 0), e.filter(by == 0))
+    """What the rejected edges would have connected."""
+    nodes, _ = _whole_graph(spark, folder)
+    e = _edges(spark, folder).select(clean_key(F.col("source")).alias("src"), clean_key(F.col("target")).alias("dst"), (F.coalesce("status", F.lit("")) == "rejected").alias("out")).filter("src is not null and dst is not null")
+    return graphs.connectivity_impact(nodes, e.filter("not out"), e.filter("out"))
 
 
 def graph_relabel(spark: SparkSession, folder: str) -> DataFrame:
@@ -465,9 +435,9 @@ QUERIES = {
     for f in (
         scalar_names, scalar_tokens, scalar_titles, key_templates, relative_dates, secret_redaction,
         merge_keep_existing, merge_keep_incoming, merge_fields, merge_rule, merge_longest, merge_edges, merge_singleton,
-        set_union, set_intersection, set_difference, set_symmetric_difference, set_union_whole, set_intersection_whole, set_difference_whole, set_symmetric_difference_whole,
+        set_union, set_intersection, set_difference, set_symmetric_difference,
         set_relation, list_slice, list_edits, list_count,
-        prune_dangling, prune_hyper, hyper_incidence, graph_undirected, graph_degrees, graph_components, graph_components_whole, graph_communities, graph_reports, graph_reports_whole,
+        prune_dangling, prune_hyper, hyper_incidence, graph_undirected, graph_degrees, graph_components, graph_communities, graph_reports,
         graph_induced, graph_impact, graph_relabel, graph_ancestors, graph_v1,
         gate_nodes, repair_parents, gate_edges, quality_coverage, quality_evaluation, quality_agreement, quality_quarantine, usage_rollup, latest_per_key,
         chunk_halving, chunk_table_text, chunk_split, chunk_packing, chunk_facts, chunk_batches, ref_hydration,
@@ -476,12 +446,16 @@ QUERIES = {
 }
 
 _ITEMS = f"{_NODES}, items AS (SELECT package_id, k, record_id, node_name, knowledge_kind, confidence, aliases FROM nodes WHERE k <> '')"
-_KEPT = _ITEMS + ", kept AS (SELECT package_id, k, min(record_id) AS record_id, arg_min(node_name, record_id) AS node_name FROM items GROUP BY ALL), l AS (SELECT * FROM kept WHERE record_id % 3 <> 0), r AS (SELECT * FROM kept WHERE record_id % 2 = 0)"
+_KEPT = (
+    f"{_NODES}, keyed AS (SELECT *, CASE WHEN k <> '' THEN k ELSE upper(hex(encode(lower(trim(coalesce(node_name, '')))))) END AS key FROM nodes), "
+    "l AS (SELECT package_id, key AS k, min(record_id) AS record_id, arg_min(node_name, record_id) AS node_name FROM keyed WHERE deleted_at IS NULL GROUP BY 1, 2), "
+    "r AS (SELECT package_id, key AS k, min(record_id) AS record_id, arg_min(node_name, record_id) AS node_name FROM keyed WHERE deleted_at IS NOT NULL GROUP BY 1, 2)"
+)
 _TOKENS = "len(regexp_replace(text, '[^㐀-鿿]', '', 'g'))"
 _STEM = r"nullif(trim(left(regexp_replace(trim(regexp_replace(regexp_replace(node_name, '[\\/:*?\"<>|#^\[\]\r\n\t]', ' ', 'g'), '\s+', ' ', 'g')), '^\.+|\.+$', '', 'g'), 120)), '')"
 _PARTS = r"list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: len(p) > 0)"
-_LINKS = f"{_EDGES}, e AS (SELECT source AS src, target AS dst FROM edges WHERE status = 'accepted' AND confidence < 0.3 AND edge_type <> 'related' AND source IS NOT NULL AND target IS NOT NULL), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
-_REACH = "reach(id, other) AS (SELECT id, id FROM v UNION SELECT r.id, b.dst FROM reach r JOIN both_ways b ON b.src = r.other)"
+_ENDS = f"{_EDGES}, e AS (SELECT {_clean('source')} AS src, {_clean('target')} AS dst, coalesce(status, '') = 'rejected' AS out FROM edges), v AS (SELECT id FROM (SELECT {_clean('node_id')} AS id FROM course_nodes UNION SELECT {_clean('node_id')} FROM concept_registry UNION SELECT src FROM e UNION SELECT dst FROM e) WHERE id IS NOT NULL), both_ways AS (SELECT src, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL UNION SELECT dst, src FROM e WHERE src IS NOT NULL AND dst IS NOT NULL)"
+_LABELS = "cc(id, label) USING KEY (id) AS (SELECT id, id FROM {v} UNION SELECT n.id, n.label FROM (SELECT b.dst AS id, min(cc.label) AS label FROM cc JOIN {b} b ON b.src = cc.id GROUP BY b.dst) n JOIN recurring.cc r ON r.id = n.id WHERE n.label < r.label)"
 _HYPER = "h AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS members FROM lineitem GROUP BY ALL)"
 _CUR = _TREE
 _OUTLINES = f"cur AS (SELECT arg_max(package_id, updated_at) AS scope, {_clean('package_id')} AS pkg, {_clean('id')} AS outline_id, arg_max(title, updated_at) AS title FROM outlines GROUP BY 2, 3)"
@@ -521,7 +495,7 @@ SQL = {
         SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source, target, edge_type ORDER BY coalesce(confidence, -1) DESC, edge_id) = 1""",
     "merge_singleton": """WITH o AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY ALL)
         SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_max(p, l_linenumber) AS l_partkey, arg_max(s, l_linenumber) AS l_suppkey FROM o GROUP BY l_orderkey""",
-    "set_union": f"WITH {_KEPT} SELECT package_id, k, record_id, upper(node_name) AS node_name FROM l UNION ALL SELECT r.* FROM r ANTI JOIN l USING (package_id, k)",
+    "set_union": f"WITH {_KEPT} SELECT l.* FROM l UNION ALL SELECT r.* FROM r ANTI JOIN l USING (package_id, k)",
     "set_intersection": f"WITH {_KEPT} SELECT l.* FROM l SEMI JOIN r USING (package_id, k)",
     "set_difference": f"WITH {_KEPT} SELECT l.* FROM l ANTI JOIN r USING (package_id, k)",
     "set_symmetric_difference": f"WITH {_KEPT} SELECT l.* FROM l ANTI JOIN r USING (package_id, k) UNION ALL SELECT r.* FROM r ANTI JOIN l USING (package_id, k)",
@@ -542,9 +516,14 @@ SQL = {
     "hyper_incidence": f"WITH {_HYPER} SELECT l_orderkey, unnest(members) AS member, generate_subscripts(members, 1) - 1 AS place FROM h",
     "graph_undirected": f"WITH {_EDGES} SELECT least(source, target) AS source, greatest(source, target) AS target, max(edge_id) AS edge_id, arg_max(weight, edge_id) AS weight FROM edges WHERE source <> target GROUP BY 1, 2",
     "graph_degrees": f"""WITH {_EDGES} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT source AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT target, 0, 1 FROM edges) WHERE node IS NOT NULL GROUP BY node""",
-    "graph_components": f"WITH RECURSIVE {_LINKS}, both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), {_REACH} SELECT id, min(other) AS component FROM reach GROUP BY id",
-    "graph_reports": f"""WITH RECURSIVE {_LINKS}, both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), {_REACH}, c AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
-        SELECT component, count(*) AS n_members, array_to_string(list(id ORDER BY id)[1:10], ', ') AS members FROM c GROUP BY component""",
+    "graph_components": f"WITH RECURSIVE {_ENDS}, {_LABELS.format(v='v', b='both_ways')} SELECT id, label AS component FROM cc",
+    "graph_reports": f"""WITH RECURSIVE {_ENDS}, {_LABELS.format(v="v", b="both_ways")}, x AS (SELECT c.label, src || ' -> ' || dst AS line FROM (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL) e JOIN cc c ON c.id = e.src)
+        SELECT c.label AS component, count(*) AS n_members, array_to_string(list(c.id ORDER BY c.id)[1:10], ', ') AS members, coalesce(any_value(y.n), 0) AS n_relations, coalesce(any_value(y.relations), '') AS relations
+        FROM cc c LEFT JOIN (SELECT label, count(*) AS n, array_to_string(list(line ORDER BY line)[1:10], chr(10)) AS relations FROM x GROUP BY 1) y ON y.label = c.label GROUP BY c.label""",
+    "graph_impact": f"""WITH RECURSIVE {_ENDS}, w AS (SELECT t || id AS id FROM v, (VALUES ('k'), ('a')) AS t(t)), both_sides AS (SELECT 'a' || src AS src, 'a' || dst AS dst FROM both_ways
+          UNION SELECT 'k' || src, 'k' || dst FROM (SELECT src, dst FROM e WHERE NOT out AND src IS NOT NULL AND dst IS NOT NULL UNION SELECT dst, src FROM e WHERE NOT out AND src IS NOT NULL AND dst IS NOT NULL)), {_LABELS.format(v="w", b="both_sides")},
+        i AS (SELECT count(DISTINCT src) AS n FROM both_ways WHERE src NOT IN (SELECT src FROM e WHERE NOT out AND src IS NOT NULL AND dst IS NOT NULL) AND src NOT IN (SELECT dst FROM e WHERE NOT out AND src IS NOT NULL AND dst IS NOT NULL))
+        SELECT count(DISTINCT label) FILTER (WHERE id LIKE 'k%') AS components_kept, count(DISTINCT label) FILTER (WHERE id LIKE 'a%') AS components_all, (SELECT n FROM i) AS newly_isolated FROM cc""",
     "graph_induced": f"WITH {_EDGES}, g AS (SELECT node_id, min(package_id) AS grp FROM course_nodes GROUP BY 1) SELECT e.edge_id, e.source, e.target, a.grp FROM edges e JOIN g a ON a.node_id = e.source JOIN g b ON b.node_id = e.target AND a.grp = b.grp",
     "graph_relabel": f"""WITH {_EDGES}, o AS (SELECT DISTINCT unnest([source, target]) AS old FROM edges), m AS (SELECT old, min(old) OVER (PARTITION BY lower(trim(old))) AS new FROM o WHERE old IS NOT NULL)
         SELECT e.edge_id, coalesce(a.new, e.source) AS source, coalesce(b.new, e.target) AS target FROM edges e LEFT JOIN m a ON a.old = e.source LEFT JOIN m b ON b.old = e.target""",

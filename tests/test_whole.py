@@ -30,8 +30,8 @@ def graph(spark, tmp_path_factory):
 
 def test_components_reports_and_communities_of_all_edges(spark, graph):
     expect = {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "x": "x", "y": "x", "z": "z", "shared": "shared"}
-    assert {r.id: r.component for r in knowledge.graph_components_whole(spark, graph).collect()} == expect
-    assert {(r.component, r.n_members, r.members) for r in knowledge.graph_reports_whole(spark, graph).collect()} == {("a", 3, "a, b, c"), ("d", 2, "d, e"), ("x", 2, "x, y"), ("z", 1, "z"), ("shared", 1, "shared")}
+    assert {r.id: r.component for r in knowledge.graph_components(spark, graph).collect()} == expect
+    assert {(r.component, r.n_members, r.members) for r in knowledge.graph_reports(spark, graph).collect()} == {("a", 3, "a, b, c"), ("d", 2, "d, e"), ("x", 2, "x, y"), ("z", 1, "z"), ("shared", 1, "shared")}
     assert {r.id for r in knowledge.graph_communities(spark, graph).collect()} == set("abcdexy")
     assert knowledge.graph_impact(spark, graph).first().components_all == 5
 
@@ -58,10 +58,10 @@ def test_sets_and_evaluation_of_all_records(spark, tmp_path):
     nodes = [node(1, "a", "Pump"), node(2, "b", "pump", gone=gone), node(3, "c", "Valve", gone=gone), node(9, "d", "Ёлка"), node(15, "e", "Tank", aliases=["Vessel", None, " "]), node(7, "f", "Vessel")]
     folder = save(spark, tmp_path, course_nodes=([*nodes, nodes[0]], NODE))
     names = lambda df: {r.node_name for r in df.collect()}
-    assert names(knowledge.set_union_whole(spark, folder)) == {"Pump", "Valve", "Ёлка", "Tank", "Vessel"}
-    assert names(knowledge.set_intersection_whole(spark, folder)) == {"Pump"}
-    assert names(knowledge.set_difference_whole(spark, folder)) == {"Ёлка", "Tank", "Vessel"}
-    assert names(knowledge.set_symmetric_difference_whole(spark, folder)) == {"Valve", "Ёлка", "Tank", "Vessel"}
+    assert names(knowledge.set_union(spark, folder)) == {"Pump", "Valve", "Ёлка", "Tank", "Vessel"}
+    assert names(knowledge.set_intersection(spark, folder)) == {"Pump"}
+    assert names(knowledge.set_difference(spark, folder)) == {"Ёлка", "Tank", "Vessel"}
+    assert names(knowledge.set_symmetric_difference(spark, folder)) == {"Valve", "Ёлка", "Tank", "Vessel"}
     # required: 3 Valve, 9 Ёлка, 15 Tank; acceptable: 1 Pump, 7 Vessel, which is also an alias of 15, of smaller id 7
     r = knowledge.quality_evaluation(spark, folder).first()
     assert (r.recall, r.precision, r.placement, r.leakage, r.duplicates) == (1.0, 1.0, 1.0, 0.0, 0.166667)
