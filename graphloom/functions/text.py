@@ -88,40 +88,31 @@ def yaml_scalar(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).when(plain, value).otherwise(quoted)
 
 
+_THOUGHT, _FENCED = re.compile(r"(?is)<think(?:ing)?>.*?</think(?:ing)?>"), re.compile(r"(?s)```[\w-]*\s*\n?(.*?)```")
+#: What a literal or number that breaks off may look like.
+_BEGUN = re.compile(r"\s*(?:t(?:r(?:ue?)?)?|f(?:a(?:l(?:se?)?)?)?|n(?:u(?:ll?)?)?|-?\d*(?:\.\d*)?(?:[eE][+-]?\d*)?)\s*")
+
+
 def first_json(text: str | None) -> tuple[str | None, str]:
-    """The first balanced JSON value in text and what came of it: ok, none, truncated or invalid."""
-    if text is None:
-        return None, "none"
-    clean = re.sub(r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "", text).strip()
-    fenced = re.search(r"```[\w-]*\s*\n?(.*?)```", clean, re.S)
-    clean = fenced[1].strip() if fenced else clean
-    begin = re.search(r"[{\[]", clean)
-    if not begin:
+    """The first JSON object or array in text and what came of it: ok, none, truncated or invalid.
+
+    Thoughts are left out, and of a fenced text only the inside is read. JSON that fails at its very end,
+    or inside a string or literal without an end, is truncated.
+    """
+    clean = _THOUGHT.sub("", text or "").strip()
+    if fenced := _FENCED.search(clean):
+        clean = fenced[1].strip()
+    begin = min((at for c in "{[" if (at := clean.find(c)) >= 0), default=-1)
+    if begin < 0:
         return None, "none"
-    open_, quoted, at = [], False, begin.start()
-    while at < len(clean):
-        c = clean[at]
-        if quoted:
-            if c == "\\":
-                at += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            open_.append("}" if c == "{" else "]")
-        elif c in "}]":
-            if not open_ or open_.pop() != c:
-                return None, "invalid"
-            if not open_:
-                value = clean[begin.start() : at + 1]
-                try:
-                    json.loads(value)
-                except ValueError:
-                    return None, "invalid"
-                return value, "ok"
-        at += 1
-    return None, "truncated"
+    try:
+        _, end = json.JSONDecoder().raw_decode(clean, begin)
+        return clean[begin:end], "ok"
+    except RecursionError:
+        return None, "invalid"
+    except json.JSONDecodeError as failure:
+        open_string = failure.msg.startswith("Unterminated string")
+        return None, "truncated" if open_string or _BEGUN.fullmatch(clean, failure.pos) else "invalid"
 
 
 _JSON = T.StructType([T.StructField("value", T.StringType()), T.StructField("state", T.StringType())])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,37 +98,38 @@ def halve(chunks: DataFrame, chunk_id: str, text: str) -> DataFrame:
     return out.select(F.concat(F.col("_id").cast("string"), F.col("_x.s")).alias(chunk_id), F.col("_x.t").alias(text), *rest)
 
 
+_PARAGRAPH_END, _SENTENCE_END = re.compile(r"\n\s*\n"), re.compile(r"(?<=[。！？.!?])")
+
+
+def _quarters(text: str) -> list[int]:
+    """Running size of text in quarters of a token: four for a Han character, one for any other."""
+    return list(accumulate((4 if "㐀" <= c <= "鿿" else 1 for c in text), initial=0))
+
+
 def split_oversized(text: str, limit: int) -> list[str]:
     """Pieces of at most limit tokens: paragraphs packed greedily, or sentences where there is only one
-    paragraph; a piece still too large is cut at the last character that fits."""
+    paragraph; a piece still too large is cut at the last character that fits. Sizes are running sums,
+    so that a text is measured once."""
     if estimate(text) <= limit:
         return [text]
-    parts = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-    if len(parts) == 1:
-        parts = [p.strip() for p in re.split(r"(?<=[。！？.!?])", text) if p.strip()]
-    packed: list[str] = []
-    for part in parts:
-        if packed and estimate(f"{packed[-1]}\n\n{part}") <= limit:
-            packed[-1] = f"{packed[-1]}\n\n{part}"
-        else:
-            packed.append(part)
+    room, gap = 4 * limit, "\n\n"
+    for end in (_PARAGRAPH_END, _SENTENCE_END):
+        units = [u for u in map(str.strip, end.split(text)) if u]
+        if len(units) > 1:
+            break
     out: list[str] = []
-    for piece in packed:
-        at = 0
-        while estimate(piece[at:]) > limit:
-            han = other = 0
-            end = at
-            while end < len(piece):
-                wide = "㐀" <= piece[end] <= "鿿"
-                if han + wide + -(-(other + (not wide)) // 4) > limit:
-                    break
-                han, other, end = han + wide, other + (not wide), end + 1
-            out.append(piece[at:end].strip())
-            at = end
-            while at < len(piece) and piece[at].isspace():
-                at += 1
-        if piece[at:]:
-            out.append(piece[at:])
+    open_, size = "", 0
+    for unit in [*units, ""]:
+        grown = _quarters(unit)[-1] + (size + len(gap) if open_ else 0)
+        if unit and (grown <= room or not open_):
+            open_, size = (f"{open_}{gap}{unit}" if open_ else unit), grown
+            continue
+        at, sums = 0, _quarters(open_)
+        while at < len(open_):
+            stop = max(at + 1, bisect_right(sums, sums[at] + room) - 1)
+            out.append(open_[at:stop].strip())
+            at = next((i for i in range(stop, len(open_)) if not open_[i].isspace()), len(open_))
+        open_, size = unit, _quarters(unit)[-1]
     return out
 
 
@@ -141,7 +144,6 @@ def fold_sorted(rows: DataFrame, scope: list[str], order: list[str], schema: T.S
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         folder, current = None, None
-        names = None
         for batch in batches:
             made = []
             places = [batch.columns.get_loc(c) for c in scope]
@@ -152,9 +154,8 @@ def fold_sorted(rows: DataFrame, scope: list[str], order: list[str], schema: T.S
                         made += folder.end()
                     folder, current = start(), here
                 made += folder.take(dict(zip(fields, row)))
-            names = out_names
             if made:
-                yield pd.DataFrame(made, columns=names)
+                yield pd.DataFrame(made, columns=out_names)
         if folder is not None and (made := folder.end()):
             yield pd.DataFrame(made, columns=out_names)
 

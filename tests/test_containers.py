@@ -98,6 +98,9 @@ def test_structured_documents(spark, tmp_path):
     assert [(r.title, r.level) for r in outline] == [("doc", 0), ("1. Start", 1), ("Detail", 2)] and outline[2].parent_id == outline[1].id
     blocks = docling.blocks_of(got).orderBy("block_no").collect()
     assert [b.text for b in blocks] == ["Body one", "Body two", "a | b\nc"] and blocks[0].page_no == 2 and blocks[1].outline_path == ["1. Start", "Detail"]
+    assert blocks[0].bbox is None and docling.levels([docling.Item(f"#{i}", "title", x, 1, None, None) for i, x in enumerate(["第一章 甲", "1.1 a", "b", "1.2.1 c", "2 d", "e", "f", "g", "h", "i", "Figure 3 x", "ends:"])]) == [1, 2, 3, 3, 1, 2, 2, 2, 2, 2, 0, 0]
+    tree = {"body": {"children": [{"$ref": "#/tables/0"}, {"$ref": "own"}]}, "texts": [{"text": "Caption", "label": "caption"}, {"self_ref": "own", "text": "by self_ref", "prov": [{"page_no": 1, "bbox": {"l": 1, "t": 2.5}}]}], "tables": [{"label": "table", "captions": [{"$ref": "#/texts/0"}], "data": {"table_cells": [{"text": "a"}]}}]}
+    assert [(b["text"], b["bbox"]) for b in docling.parse(tree)[1]] == [("Caption", None), ("a", None), ("by self_ref", {"l": 1.0, "t": 2.5})]
     assert docling.pointer({"a/b": [1, {"~": 2}]}, "#/a~1b/1/~0") == 2 and docling.pointer({}, "x") is None
 
 

@@ -39,7 +39,7 @@ def test_scalar_functions(spark):
 
 @pytest.mark.parametrize(
     "given, value, state",
-    [('x {"a": "}"} y', '{"a": "}"}', "ok"), ("```json\n[1]\n```", "[1]", "ok"), ('{"a": [1', None, "truncated"), ("no", None, "none"), ("{a}", None, "invalid"), (None, None, "none")],
+    [('x {"a": "}"} y', '{"a": "}"}', "ok"), ("```json\n[1]\n```", "[1]", "ok"), ('{"a": [1', None, "truncated"), ("no", None, "none"), ("{a}", None, "invalid"), (None, None, "none"), ('{"a": tru', None, "truncated"), ('[1, "it', None, "truncated"), ('{"a" 1}', None, "invalid"), ('<think>{</think>[{"b": -1.5e3}] {', '[{"b": -1.5e3}]', "ok"), ("[" * 9, None, "truncated")],
 )
 def test_first_json(given, value, state):
     assert text.first_json(given) == (value, state)
