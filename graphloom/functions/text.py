@@ -28,7 +28,7 @@ def title_key(title: Column) -> Column:
 def token_estimate(text: Column, least: int = 1) -> Column:
     """Han characters one each, others one per four, rounded up; at least `least`. Null stays null."""
     han = F.length(F.regexp_replace(text, f"[^{HAN}]", ""))
-    return F.greatest(F.lit(least), han + F.ceil((F.length(text) - han) / 4).cast("int"))
+    return F.when(text.isNotNull(), F.greatest(F.lit(least), han + F.ceil((F.length(text) - han) / 4).cast("int")))
 
 
 def file_stem(title: Column, fallback: str = "untitled") -> Column:

@@ -17,21 +17,71 @@ def last_terms(terms: Column, n: int = LAST_TERMS) -> Column:
     return F.when(F.size(kept) > n, F.slice(kept, -n, n)).otherwise(kept)
 
 
-def outline_text(outline: DataFrame, scope: str = "scope") -> DataFrame:
-    """(scope, outline_text): an indented line per entry, in order. outline: scope, id, title, depth, sort_order."""
-    line = F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("depth") - 1)), F.lit("- ["), F.col("id"), F.lit("] "), F.coalesce("title", F.lit("")))
-    rows = outline.filter("depth > 0").groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("sort_order", "id", line.alias("l")))).alias("_l"))
-    return rows.select(scope, F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias("outline_text"))
+def _lines(entries: DataFrame, keys: list[str], name: str, longest: int) -> DataFrame:
+    """(keys…, name): the lines of each key in order, joined; no row where they exceed `longest` letters
+    together, which are counted first, so that no long outline is gathered."""
+    sizes = entries.groupBy(*keys).agg(F.sum(F.length("_line") + 1).alias("_size")).filter(F.col("_size") <= longest)
+    rows = entries.join(sizes.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sort_order", "id", F.col("_line").alias("l")))).alias("_l"))
+    return rows.select(*keys, F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias(name))
+
+
+def outline_entries(tree: DataFrame) -> DataFrame:
+    """tree, a hierarchy(paths=True) with scope, id, title and sort_order, with `level` and `chapter`: steps
+    from the root, and the entry of level 1 that holds it (null for the root). An entry that reaches no
+    root is a chapter of its own, so that none is lost."""
+    level = F.when(F.col("status") == "ok", F.col("steps")).otherwise(F.lit(1))
+    chapter = F.when(F.col("status") != "ok", F.col("id")).otherwise(F.get("path", F.lit(1)))
+    return tree.select("scope", "id", "title", "sort_order", level.alias("level"), chapter.alias("chapter"))
+
+
+def outline_contexts(entries: DataFrame, longest: int = 1_000_000) -> DataFrame:
+    """(scope, id, full_outline, compact_outline) for each entry as the current one, from outline_entries().
+
+    full_outline has all entries below the root, an indented line each; compact_outline those of level 1
+    and the whole chapter of the current entry, which has its ancestors. The current line ends in
+    ` <CURRENT>`. An outline of more than `longest` letters is null: no window would hold it.
+    """
+    line = F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("level") - 1).cast("int")), F.lit("- ["), F.col("id"), F.lit("] "), F.coalesce("title", F.lit("")))
+    shown = entries.filter("level > 0").withColumn("_line", line)
+    full = _lines(shown, ["scope"], "full_outline", longest)
+    # every chapter's text has the lines of level 1 as well, which are gathered only where they are few
+    tops = shown.filter("level = 1").withColumn("_deep", F.lit(False))
+    inner = shown.filter("level > 1").groupBy("scope", "chapter").agg(F.sum(F.length("_line") + 1).alias("_size")).filter(F.col("_size") <= longest).select("scope", "chapter")
+    below = shown.filter("level > 1").join(inner, ["scope", "chapter"], "left_semi").groupBy("scope", "chapter").agg(F.array_sort(F.collect_list(F.struct("sort_order", "id", F.col("_line").alias("l")))).alias("_own"))
+    heads = tops.join(tops.groupBy("scope").agg(F.sum(F.length("_line") + 1).alias("_size")).filter(F.col("_size") <= longest).select("scope"), "scope", "left_semi")
+    heads = heads.groupBy("scope").agg(F.collect_list(F.struct("sort_order", "id", F.col("_line").alias("l"))).alias("_tops"))
+    whole = shown.select("scope", "chapter").distinct().join(heads, "scope").join(below, ["scope", "chapter"], "left")
+    none = F.array().cast("array<struct<sort_order:int,id:string,l:string>>")
+    merged = F.array_sort(F.concat("_tops", F.coalesce("_own", none)))
+    compact = whole.select("scope", "chapter", F.array_join(F.transform(merged, lambda x: x["l"]), "\n").alias("_compact"))
+    mark = lambda text: F.rtrim(F.replace(F.concat(text, F.lit("\n")), F.concat(F.lit("- ["), F.col("id"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n")), F.concat(F.lit("- ["), F.col("id"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" <CURRENT>\n"))))
+    out = entries.join(full, "scope", "left").join(compact, ["scope", "chapter"], "left")
+    ends = lambda text: F.regexp_replace(mark(text), r"\n+$", "")
+    return out.select("scope", "id", ends(F.col("full_outline")).alias("full_outline"), ends(F.col("_compact")).alias("compact_outline"))
+
+
+def scope_lines(sections: Column, paths: Column) -> Column:
+    """A line `- [id] a > b` per covered section."""
+    return F.array_join(F.zip_with(sections, paths, lambda i, p: F.concat(F.lit("- ["), F.coalesce(i, F.lit("")), F.lit("] "), F.coalesce(F.nullif(F.array_join(p, " > "), F.lit("")), F.lit("(root)")))), "\n")
 
 
 def fit_context(chunks: DataFrame, window: int, reserved: int) -> DataFrame:
     """chunks with `context` and `context_level`: the fullest of three contexts that fits.
 
-    chunks: text, terms (array), compact_outline, full_outline. Levels: `terms` with the compact
+    chunks: text, terms (array), compact_outline, full_outline, and where they are known document, scope_text
+    (see scope_lines) and pages (array), which go before the outline. An outline that is null has no room
+    and fits nothing; without an outline at all it is empty text. Levels: `terms` with the compact
     outline and the last terms, `compact` without the terms, `full` with the full outline and no terms,
     as the last attempt; `none`, with a null context, where nothing fits the window less what is reserved.
     """
-    head = lambda outline, terms: F.concat(F.lit("# Outline\n"), F.coalesce(outline, F.lit("")), F.lit("\n\n# Known terms\n"), terms, F.lit("\n\n# Text\n"), F.coalesce("text", F.lit("")))
+    known = {"document": "Document: ", "scope_text": "Sections of the text:\n", "pages": "Pages: "}
+    shown = [
+        F.concat(F.lit(title), F.coalesce((F.array_join(F.array_sort(F.array_distinct(F.array_compact(c))), ", ") if c == "pages" else F.col(c)), F.lit("")), F.lit("\n"))
+        for c, title in known.items()
+        if c in chunks.columns
+    ]
+    about = F.concat(F.lit("# Document\n"), *shown, F.lit("\n")) if shown else F.lit("")
+    head = lambda outline, terms: F.concat(about, F.lit("# Outline\n"), outline, F.lit("\n\n# Known terms\n"), terms, F.lit("\n\n# Text\n"), F.coalesce("text", F.lit("")))
     none = F.lit("none")
     levels = [
         ("terms", head(F.col("compact_outline"), F.when(F.size("terms") > 0, F.array_join(last_terms(F.col("terms")), ", ")).otherwise(none))),
@@ -39,7 +89,7 @@ def fit_context(chunks: DataFrame, window: int, reserved: int) -> DataFrame:
         ("full", head(F.col("full_outline"), none)),
     ]
     room = window - reserved
-    fits = [(name, text, token_estimate(text) <= room) for name, text in levels]
+    fits = [(name, text, F.coalesce(token_estimate(text) <= room, F.lit(False))) for name, text in levels]
     level, context = F.lit("none"), F.lit(None).cast("string")
     for name, text, ok in reversed(fits):
         level, context = F.when(ok, name).otherwise(level), F.when(ok, text).otherwise(context)

@@ -9,8 +9,9 @@ from graphloom.containers import KeyedSet
 from graphloom.functions import text, vectors
 from graphloom.functions.keys import clean_key
 from graphloom.operators import candidates, extract, prompts
+from graphloom.operators.hierarchy import hierarchy
 from graphloom.plans.integrity import _TREE, _clean, current_outlines
-from graphloom.session import read_table
+from graphloom.session import cut_lineage, read_table
 from graphloom.sources import packages, vault
 from graphloom.streaming.incremental import windowed_counts
 
@@ -119,12 +120,22 @@ def edge_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_contexts(spark: SparkSession, folder: str) -> DataFrame:
-    """Which context fits each source block beside its package's outline."""
-    now = current_outlines(spark, folder).select(F.col("package_id").alias("scope"), F.col("nid").alias("id"), "title", "depth", "sort_order")
-    full = prompts.outline_text(now).withColumnRenamed("outline_text", "full_outline")
-    compact = prompts.outline_text(now.filter("depth <= 1")).withColumnRenamed("outline_text", "compact_outline")
-    blocks = read_table(spark, folder, "source_blocks").dropDuplicates(["block_id"]).select("block_id", F.col("package_id").alias("scope"), "text", F.coalesce("outline_path", F.array().cast("array<string>")).alias("terms"))
-    fitted = prompts.fit_context(blocks.join(full, "scope", "left").join(compact, "scope", "left"), 2000, 500)
+    """Which context fits each source block: its package's outline with its section as the current one,
+    known terms, pages and text, within a window."""
+    now = current_outlines(spark, folder).select("pkg", "nid", "parent", "title", "sort_order")
+    tree = hierarchy(now.select("pkg", "nid", "parent"), "pkg", "nid", "parent").join(now.drop("parent"), ["pkg", "nid"])
+    entries = cut_lineage(prompts.outline_entries(tree.withColumnsRenamed({"pkg": "scope", "nid": "id"})))
+    window = 2000
+    outlines = prompts.outline_contexts(entries, 4 * window)
+    none = F.array().cast("array<string>")
+    blocks = read_table(spark, folder, "source_blocks").dropDuplicates(["block_id"])
+    blocks = blocks.select("block_id", F.col("package_id").alias("document"), clean_key(F.col("package_id")).alias("scope"), clean_key(F.col("outline_id")).alias("id"), "text", F.coalesce("outline_path", none).alias("terms"))
+    blocks = blocks.withColumn("scope_text", prompts.scope_lines(F.array("id"), F.array("terms")))
+    joined = blocks.join(outlines.withColumn("_known", F.lit(True)), ["scope", "id"], "left")
+    for c in ("full_outline", "compact_outline"):
+        # a section that isn't in the outline has none; one whose outline is too long has no room
+        joined = joined.withColumn(c, F.when(F.col("_known").isNull(), "").otherwise(F.col(c)))
+    fitted = prompts.fit_context(joined.drop("_known"), window, 500)
     return fitted.select("block_id", "context_level", F.md5("context").alias("digest"))
 
 

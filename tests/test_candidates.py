@@ -57,8 +57,25 @@ def test_contexts(spark):
     assert [r.context_level for r in got] == ["terms", "none"] and got[1].context is None and "a\n" in got[0].context
     many = spark.createDataFrame([([str(i) for i in range(40)] + ["3"],)], "t array<string>").select(prompts.last_terms(F.col("t")).alias("l")).first().l
     assert many == [str(i) for i in range(16, 40)]
-    o = spark.createDataFrame([("s", "b", "B", 2, 2), ("s", "a", "A", 1, 1), ("s", "r", "R", 0, 0)], "scope string, id string, title string, depth int, sort_order int")
-    assert prompts.outline_text(o).first().outline_text == "- [a] A\n  - [b] B"
+
+
+def test_outline_contexts_by_section(spark):
+    from graphloom.operators.hierarchy import hierarchy
+
+    o = [("s", "r", None, "Root", 0), ("s", "a", "r", "A", 1), ("s", "a1", "a", "A1", 2), ("s", "b", "r", "B", 3), ("s", "b1", "b", "B1", 4), ("s", "b2", "b1", None, 5), ("s", "lost", "gone", "L", 6), ("t", "x", None, "X", 0)]
+    rows = spark.createDataFrame(o, "scope string, id string, parent string, title string, sort_order int")
+    tree = hierarchy(rows.select("scope", "id", "parent"), "scope", "id", "parent").join(rows.drop("parent"), ["scope", "id"])
+    got = {(r.scope, r.id): r for r in prompts.outline_contexts(prompts.outline_entries(tree)).collect()}
+    assert len(got) == 8
+    assert got["s", "b1"].compact_outline == "- [a] A\n- [b] B\n  - [b1] B1 <CURRENT>\n    - [b2] \n- [lost] L"
+    assert got["s", "b2"].full_outline == "- [a] A\n  - [a1] A1\n- [b] B\n  - [b1] B1\n    - [b2]  <CURRENT>\n- [lost] L"
+    assert got["s", "lost"].compact_outline == "- [a] A\n- [b] B\n- [lost] L <CURRENT>" and got["t", "x"].full_outline is None
+    short = {(r.scope, r.id): r for r in prompts.outline_contexts(prompts.outline_entries(tree), 30).collect()}
+    assert short["s", "a1"].full_outline is None and short["s", "a1"].compact_outline is not None
+    row = spark.createDataFrame([("text", ["t"], None, None, "doc", [3, None, 2], "- [a] x")], "text string, terms array<string>, compact_outline string, full_outline string, document string, pages array<int>, scope_text string")
+    assert prompts.fit_context(row, 100, 10).first().context_level == "none"
+    context = prompts.fit_context(row.fillna({"compact_outline": ""}), 100, 10).first().context
+    assert context.startswith("# Document\nDocument: doc\nSections of the text:\n- [a] x\nPages: 2, 3\n\n# Outline\n")
 
 
 def test_merge_by_vectors_and_names_without_a_key(spark):
