@@ -6,7 +6,6 @@ order in which they came; merging and `first` and `last` go by it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -232,7 +231,7 @@ class Graph:
         # padded, so that text order is number order
         place = F.concat_ws("|", *[F.lpad(F.col(k).cast("string"), 20, "0") for k in key], F.lpad(F.col("item_no").cast("string"), 10, "0"))
         order = lambda rows: rows.filter("error is null").withColumn("seq", place).drop(*key, "item_no", "error")
-        more = Graph.of(order(nodes), order(edges), node_key=self.node_key, edge_key=self.edge_key, strategy=self.strategy)
+        more = Graph.of(order(nodes), order(edges), node_key=self.node_key, edge_key=self.edge_key, time=self.time, place=self.place, strategy=self.strategy, hyper=self.hyper)
         return self + more
 
     def build_index(self, node_fields: list[str], edge_fields: list[str]) -> Graph:
@@ -255,6 +254,3 @@ def graph_of_text(spark: SparkSession, chunks: DataFrame, key: list[str], text:
     nodes = spark.createDataFrame([], "name string, type string, description string, seq string")
     edges = spark.createDataFrame([], "source string, target string, edge_type string, description string, seq string")
     return Graph.of(nodes, edges, **options).feed(chunks, key, text, extractors)
-
-
-Method = Callable[[DataFrame, DataFrame], Graph]

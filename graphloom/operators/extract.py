@@ -94,11 +94,15 @@ def term_nodes(text: str, context: dict[str, object]) -> list[dict]:
 
 
 def term_edges(text: str, context: dict[str, object]) -> list[dict]:
-    """`related` between neighbouring terms of a sentence, described by the sentence."""
+    """`related` between neighbouring terms of a sentence, described by the sentence. Where the context has
+    `known` names, as in a second stage, only those are linked."""
+    known = context.get("known")
+    names = {line.removeprefix("- ") for line in str(known).split("\n")} if known is not None else None
     out = []
     for sentence in _SENTENCE.split(text):
         terms = list(dict.fromkeys(next(g for g in m.groups() if g) for m in _TERM.finditer(sentence)))
-        out += [{"source": a, "target": b, "edge_type": "related", "description": sentence.strip()[:300]} for a, b in zip(terms, terms[1:])]
+        terms = [t for t in terms if names is None or t in names]
+        out += [{"source": a, "target": b, "edge_type": "related", "description": sentence.strip()} for a, b in zip(terms, terms[1:])]
     return out
 
 

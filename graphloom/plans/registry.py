@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import course, documents, integrity, knowledge
+from graphloom.plans import course, documents, integrity, knowledge, methods
 
-_MODULES = [integrity, knowledge, course, documents]
+_MODULES = [integrity, knowledge, course, documents, methods]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
