@@ -142,6 +142,17 @@ def chunk_contexts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates, similar_names, semantic_dedup, contrast_partners, edge_candidates, chunk_contexts)}
 
 SQL = {
+    "package_validation": _TREE
+    + f""", c AS (SELECT DISTINCT ON (content_key) {_clean("package_id")} AS pkg, {_clean("content_id")} AS cid, content_path, sort_order, {_clean("outline_id")} AS oid, sha256 FROM package_contents),
+         stored AS (SELECT {_clean("package_id")} AS pkg, {_clean("id")} AS nid, arg_max(struct_pack(d := depth), updated_at).d AS d FROM outlines GROUP BY 1, 2)
+         SELECT pkg AS package_id, cid AS subject, 'duplicate content id' AS violation FROM c GROUP BY 1, 2 HAVING count(*) > 1
+         UNION ALL SELECT pkg, sort_order::VARCHAR, 'duplicate order' FROM c GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT pkg, content_path, 'duplicate path' FROM c GROUP BY 1, 2 HAVING count(*) > 1
+         UNION ALL SELECT pkg, cid, 'unsafe path' FROM c WHERE content_path IS NULL OR trim(content_path) = '' OR regexp_matches(content_path, '^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\\.\\.([/\\\\]|$)|\\\\')
+         UNION ALL SELECT pkg, cid, 'bad digest' FROM c WHERE NOT coalesce(regexp_matches(sha256, '^[0-9a-f]{{64}}$'), false)
+         UNION ALL SELECT pkg, cid, 'unknown outline entry' FROM c WHERE oid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM status s WHERE s.pkg = c.pkg AND s.nid = c.oid)
+         UNION ALL SELECT pkg, nid, 'outline ' || status FROM status WHERE status <> 'ok'
+         UNION ALL SELECT s.pkg, s.nid, 'wrong depth' FROM status s JOIN stored t ON t.pkg = s.pkg AND t.nid = s.nid WHERE status = 'ok' AND t.d <> steps
+         UNION ALL SELECT pkg, count(*)::VARCHAR, 'several roots' FROM status WHERE status = 'ok' AND steps = 0 GROUP BY 1 HAVING count(*) > 1""",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS class_size FROM documents",
     "package_blocks": _TREE

@@ -570,6 +570,26 @@ SQL = {
         UNION ALL SELECT block_id || '-b', array_to_string(parts[len(parts) // 2 + 1:], chr(10) || chr(10)) FROM b WHERE len(parts) > 1 UNION ALL SELECT block_id::VARCHAR, text FROM b WHERE len(parts) < 2)
         SELECT block_id, md5(t) AS digest, len(t) AS n_chars FROM c""",
     "chunk_table_text": "SELECT n_regionkey AS t, string_agg(n_name || ' | ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS table_text FROM nation GROUP BY 1",
+    "chunk_facts": f"""WITH RECURSIVE {_NODES}, o AS (SELECT package_id, evidence, row_number() OVER (PARTITION BY package_id ORDER BY record_id) AS r FROM nodes WHERE evidence IS NOT NULL),
+        fold(package_id, r, pack_no, i, total) AS (SELECT package_id, r, 0, 1, len(evidence) + 12 FROM o WHERE r = 1
+          UNION ALL SELECT f.package_id, o.r, CASE WHEN f.total + len(o.evidence) + 12 > 2048 OR f.i >= 10 THEN f.pack_no + 1 ELSE f.pack_no END, CASE WHEN f.total + len(o.evidence) + 12 > 2048 OR f.i >= 10 THEN 1 ELSE f.i + 1 END,
+            CASE WHEN f.total + len(o.evidence) + 12 > 2048 OR f.i >= 10 THEN 0 ELSE f.total END + len(o.evidence) + 12 FROM fold f JOIN o ON o.package_id = f.package_id AND o.r = f.r + 1)
+        SELECT f.package_id, f.pack_no::BIGINT AS pack_no, string_agg('[Fact ' || f.i || ']: ' || o.evidence, chr(10) ORDER BY f.i) AS pack_text FROM fold f JOIN o ON o.package_id = f.package_id AND o.r = f.r GROUP BY 1, 2""",
+    "chunk_batches": """WITH RECURSIVE o AS (SELECT *, coalesce(collection_id, '') AS c, row_number() OVER (PARTITION BY collection_id ORDER BY doc_id) AS r FROM documents),
+        fold(c, r, no, i, total) AS (SELECT c, r, 0, 1, n_chars FROM o WHERE r = 1
+          UNION ALL SELECT f.c, o.r, CASE WHEN f.i >= 16 OR f.total + o.n_chars > 20000 THEN f.no + 1 ELSE f.no END, CASE WHEN f.i >= 16 OR f.total + o.n_chars > 20000 THEN 1 ELSE f.i + 1 END,
+            CASE WHEN f.i >= 16 OR f.total + o.n_chars > 20000 THEN 0 ELSE f.total END + o.n_chars FROM fold f JOIN o ON o.c = f.c AND o.r = f.r + 1)
+        SELECT o.collection_id, o.doc_id, o.n_chars, f.no::BIGINT AS batch_no FROM fold f JOIN o ON o.c = f.c AND o.r = f.r""",
+    "quality_evaluation": f"""WITH {_NODES}, n AS (SELECT *, package_id || ' ' || CASE WHEN k <> '' THEN k ELSE upper(hex(encode(lower(trim(coalesce(node_name, '')))))) END AS full0 FROM nodes),
+        m AS (SELECT *, regexp_replace(lower(full0), '[^0-9a-z㐀-鿿]+', '', 'g') AS key FROM n), g AS (SELECT key, min(record_id) AS gold_id, arg_min(struct_pack(o := parent_outline_id), record_id).o AS w FROM m GROUP BY 1),
+        a AS (SELECT gold_id, key FROM g UNION SELECT g.gold_id, regexp_replace(lower(x.package_id || ' ' || CASE WHEN regexp_replace(lower(x.a), '[^0-9a-z㐀-鿿]+', '', 'g') <> '' THEN regexp_replace(lower(x.a), '[^0-9a-z㐀-鿿]+', '', 'g') ELSE upper(hex(encode(lower(trim(x.a))))) END), '[^0-9a-z㐀-鿿]+', '', 'g')
+          FROM (SELECT key, package_id, unnest(aliases) AS a FROM m) x JOIN g USING (key) WHERE len(trim(x.a)) > 0),
+        c AS (SELECT m.record_id, m.key, g.gold_id, CASE g.gold_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'acceptable' WHEN 2 THEN 'forbidden' END AS label, coalesce(g.gold_id % 3 <> 2 AND g.w IS NOT DISTINCT FROM m.parent_outline_id, false) AS placed
+          FROM m LEFT JOIN a ON a.key = m.key LEFT JOIN g ON g.gold_id = a.gold_id),
+        b AS (SELECT record_id, any_value(key) AS key, arg_min(struct_pack(g := gold_id, l := label, p := placed), (NOT placed, gold_id)) AS x FROM c GROUP BY 1),
+        t AS (SELECT count(*) AS predicted, count(*) FILTER (WHERE x.l IN ('required', 'acceptable')) AS positive, count(*) FILTER (WHERE x.l = 'forbidden') AS leaks, count(DISTINCT x.g) FILTER (WHERE x.l = 'required') AS r, count(DISTINCT x.g) FILTER (WHERE x.l IN ('required', 'acceptable')) AS p,
+          count(DISTINCT x.g) FILTER (WHERE x.p) AS w, count(DISTINCT key) AS names FROM b)
+        SELECT predicted, round(r / (SELECT count(*) FROM g WHERE gold_id % 3 = 0), 6) AS recall, round(positive / predicted, 6) AS precision, round(w / p, 6) AS placement, round(leaks / predicted, 6) AS leakage, round((predicted - names) / predicted, 6) AS duplicates FROM t""",
     "ref_hydration": f"""WITH {_NODES}, r AS (SELECT record_id, unnest(source_refs) AS ref, generate_subscripts(source_refs, 1) - 1 AS place FROM nodes)
         SELECT record_id, place, regexp_extract(ref, '^(.*)#L(\\d+)-L(\\d+)$', 1) AS path, try_cast(regexp_extract(ref, '^(.*)#L(\\d+)-L(\\d+)$', 2) AS INT) AS start_line, try_cast(regexp_extract(ref, '^(.*)#L(\\d+)-L(\\d+)$', 3) AS INT) AS end_line FROM r WHERE trim(ref) <> ''""",
     "search_one": "SELECT e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id LIMIT 10",
