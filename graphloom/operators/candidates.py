@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import normal_name, sequence_ratio
-from graphloom.functions.vectors import embed
+from graphloom.functions.vectors import cosine, embed
 from graphloom.operators.graphs import connected_components
 from graphloom.session import cut_lineage
 
@@ -142,45 +143,95 @@ def merge_similar(nodes: DataFrame, edges: DataFrame, least: float = SIMILAR, le
     return named, edges.filter("source <> target").dropDuplicates()
 
 
-def partners(queries: DataFrame, rows: DataFrame, columns: list[str], score: Callable[[tuple, tuple], float | None], k: int, per_block: int = 5_000) -> DataFrame:
-    """(query, rank, partner, score): for each query its k best rows of its own scope.
+def _met(rows: DataFrame, own: str, other: str, sizes: DataFrame) -> DataFrame:
+    """rows of a scope in hash blocks `own`, repeated for every block `other` of the other side."""
+    return rows.join(sizes, "scope").withColumns({own: F.pmod(F.xxhash64("id"), F.col(f"_n{own}")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))}).drop("_n_i", "_n_j")
 
-    queries and rows: scope, id and the columns that score gets as tuples; a score of None is no
-    partner. Queries go to the rows in blocks; a task keeps k rows a query. Ties go to the smaller id.
+
+def partners(queries: DataFrame, rows: DataFrame, columns: list[str], score: Callable[[tuple, tuple], float | tuple[float, str] | None], k: int, per_block: int = 2_000) -> DataFrame:
+    """(query, rank, partner, score, reason): for each query its k best rows of its own scope.
+
+    queries and rows: scope, id and the columns that score gets as tuples; a score of None is no partner,
+    and a score may come with a reason. Ties go to the smaller id; a row is no partner of its own id.
+    Rows with a null scope are in none. Both sides of a scope are cut into hash blocks of about
+    per_block rows, and each pair of blocks meets in one task, which keeps k rows a query: nothing
+    passes through the driver, and a scope of any size is spread.
     """
-    spark = rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
     wanted = ["scope", "id", *columns]
-    blocks: list[list[tuple]] = [[]]
-    for row in queries.select(*wanted).toLocalIterator():
-        if len(blocks[-1]) == per_block:
-            blocks.append([])
-        blocks[-1].append(tuple(row))
-    made = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            by_scope: dict[object, list[tuple]] = {}
-            for q in sent.value:
-                by_scope.setdefault(q[0], []).append(q)
-            top: dict[object, list[tuple[float, object]]] = {}
-            for batch in batches:
-                for row in batch[wanted].itertuples(index=False, name=None):
-                    for q in by_scope.get(row[0], ()):
-                        if q[1] != row[1] and (value := score(q[2:], row[2:])) is not None:
-                            held = top.setdefault(q[1], [])
-                            held.append((-value, row[1]))
-                            if len(held) > 4 * k + 16:
-                                held.sort()
-                                del held[k:]
-            out = [(q, i, -v) for q, held in top.items() for v, i in sorted(held)[:k]]
-            yield pd.DataFrame(out, columns=["query", "partner", "score"])
-
-        part = rows.select(*wanted).mapInPandas(best, f"query {kind}, partner {kind}, score double")
-        made = part if made is None else made.unionByName(part)
-    found = made.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("partner").alias("p")))), 1, k).alias("_b"))
-    return found.select("query", F.posexplode("_b").alias("rank", "_x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("_x.p").alias("partner"), (-F.col("_x.s")).alias("score"))
+    asked, all_rows = (side.select(*wanted).filter(F.col("scope").isNotNull()) for side in (queries, rows))
+    blocks = lambda side, name: side.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias(name))
+    sizes = blocks(asked, "_n_i").join(blocks(all_rows, "_n_j"), "scope")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        own = list(right[[f"r_{c}" for c in wanted[1:]]].itertuples(index=False, name=None))
+        for q in left[wanted[1:]].itertuples(index=False, name=None):
+            held = []
+            for row in own:
+                if q[0] != row[0] and (value := score(q[1:], row[1:])) is not None:
+                    value, reason = value if isinstance(value, tuple) else (value, None)
+                    held.append((-value, row[0], reason))
+            out += [(q[0], i, -v, reason) for v, i, reason in nsmallest(k, held, key=lambda h: h[:2])]
+        return pd.DataFrame(out, columns=["query", "partner", "score", "reason"])
+
+    # other names on the right, as both sides may come from one table
+    right = _met(all_rows, "_j", "_i", sizes)
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    met = _met(asked, "_i", "_j", sizes).groupBy("scope", "_i", "_j").cogroup(right.groupBy("r_scope", "r__i", "r__j"))
+    made = met.applyInPandas(best, f"query {kind}, partner {kind}, score double, reason string")
+    found = made.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("partner").alias("p"), "reason"))), 1, k).alias("_b"))
+    return found.select("query", F.posexplode("_b").alias("rank", "_x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("_x.p").alias("partner"), (-F.col("_x.s")).alias("score"), "_x.reason")
+
+
+def reasons_for(least: float) -> Callable[[tuple, tuple], tuple[float, str] | None]:
+    """The cosine of two nodes with the reasons to ask about their relation, None for no reason. For
+    partners() over (own, vector, section, name, body, related); related ids are no partners."""
+
+    def score(a: tuple, b: tuple) -> tuple[float, str] | None:
+        if a[5] is not None and b[0] in set(a[5]):
+            return None
+        value = cosine_of(a[1], b[1])
+        told = []
+        if mentions(a[3] or "", b[4] or "") or mentions(b[3] or "", a[4] or ""):
+            told.append("explicit_term_mention")
+        if a[2] is not None and a[2] == b[2]:
+            told.append("same_section_gap")
+        if value >= least:
+            told.append("semantic_similarity")
+        return (value, ",".join(told)) if told else None
+
+    return score
+
+
+def global_candidates(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = 1, least: float = 0.78) -> DataFrame:
+    """(left, right, score, reasons): pairs of nodes worth asking about, the smaller id left, each once.
+
+    nodes: scope (a chapter), section, id, name (normalised), body, vector; queries: those of them that
+    are asked for. edges: source, target (ids); pairs that have one are left out. A query's top_k closest
+    of its chapter count if they are close, in one section, or one mentions the other; besides, of each
+    section that has a query the pair with the most contrast (see contrast; ties to the smaller ids).
+    """
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("_o")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("_o")))
+    place = nodes.select("id", "scope")
+    near = both.filter("id is not null and _o is not null").distinct().join(place, "id").join(place.withColumnsRenamed({"id": "_o", "scope": "_s"}), "_o").filter("scope = _s")
+    related = near.groupBy("id").agg(F.collect_set("_o").alias("related"))
+    full = nodes.join(related, "id", "left").withColumn("own", F.col("id"))
+    columns = ["own", "vector", "section", "name", "body", "related"]
+    asked = full.join(queries.select("id"), "id", "left_semi")
+    close = partners(asked, full, columns, reasons_for(least), top_k).select("query", "partner", "score", F.split("reason", ",").alias("reasons"))
+
+    def apart(a: tuple, b: tuple) -> float | None:
+        return None if a[2] is not None and b[0] in set(a[2]) or a[0] > b[0] else contrast((a[1],), (b[1],))
+
+    inside = full.join(asked.select("section").distinct(), "section", "left_semi").select(F.col("section").alias("scope"), "id", "own", "name", "related")
+    each = partners(inside, inside, ["own", "name", "related"], apart, 1).join(inside.select(F.col("id").alias("query"), F.col("scope").alias("section")), "query")
+    best = each.groupBy("section").agg(F.min_by(F.struct("query", "partner"), F.struct(-F.col("score"), "query", "partner")).alias("_p")).select("_p.*")
+    vectors = full.select("id", "vector")
+    cosines = best.join(vectors.withColumnsRenamed({"id": "query", "vector": "_v"}), "query").join(vectors.withColumnsRenamed({"id": "partner", "vector": "_w"}), "partner")
+    contrasts = cosines.select("query", "partner", cosine(F.col("_v"), F.col("_w")).alias("score"), F.array(F.lit("same_section_contrast")).alias("reasons"))
+    rows = close.unionByName(contrasts).select(F.least("query", "partner").alias("left"), F.greatest("query", "partner").alias("right"), "score", "reasons")
+    return rows.groupBy("left", "right").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))), ",").alias("reasons"))
 
 
 def cosine_of(a: list[float] | None, b: list[float] | None) -> float:

@@ -9,6 +9,7 @@ from graphloom.containers import KeyedSet
 from graphloom.functions import text, vectors
 from graphloom.functions.keys import clean_key
 from graphloom.operators import candidates, extract, prompts
+from graphloom.operators.course import attach_ids
 from graphloom.operators.hierarchy import hierarchy
 from graphloom.plans.integrity import _TREE, _clean, current_outlines
 from graphloom.session import cut_lineage, read_table
@@ -110,13 +111,31 @@ def _queried(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def contrast_partners(spark: SparkSession, folder: str) -> DataFrame:
     """For every twentieth node the most contrasting name of its package."""
     queries, rows = _queried(spark, folder)
-    return candidates.partners(queries, rows, ["name"], candidates.contrast, 1)
+    return candidates.partners(queries, rows, ["name"], candidates.contrast, 1).drop("reason")
 
 
 def edge_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """For every twentieth node the closest of its package that are similar, near or mentioned."""
     queries, rows = _queried(spark, folder)
-    return candidates.partners(queries, rows, ["vector", "parent_outline_id", "name", "body"], candidates.closeness(0.7), 2)
+    return candidates.partners(queries, rows, ["vector", "parent_outline_id", "name", "body"], candidates.closeness(0.7), 2).drop("reason")
+
+
+def global_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """For every twentieth node the unrelated node of its chapter worth asking about, and the pair of most
+    contrast of its section, with the reasons."""
+    now = current_outlines(spark, folder)
+    tree = hierarchy(now.select("pkg", "nid", "parent"), "pkg", "nid", "parent")
+    chapters = tree.select("pkg", F.col("nid").alias("_up"), F.concat_ws("/", "pkg", F.coalesce(F.get("path", F.lit(1)), "root", "nid")).alias("scope"))
+    nodes = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"])
+    nodes = nodes.select(
+        F.col("record_id").alias("id"), clean_key(F.col("node_id")).alias("_node"), clean_key(F.col("package_id")).alias("pkg"), clean_key(F.col("parent_outline_id")).alias("_up"),
+        text.normal_name(F.col("node_name")).alias("name"), F.concat_ws("\n", "node_name", "summary", "evidence").alias("body"), vectors.embed(F.col("node_name")).alias("vector"),
+    )
+    nodes = cut_lineage(nodes.join(chapters, ["pkg", "_up"]).withColumn("section", F.concat_ws("/", "pkg", "_up")).drop("pkg", "_up"))
+    ids = nodes.groupBy(F.col("_node").alias("name")).agg(F.min("id").alias("id"))
+    edges = read_table(spark, folder, "course_edges").select(clean_key(F.col("source")).alias("source"), clean_key(F.col("target")).alias("target")).distinct()
+    linked = attach_ids(edges, ids, []).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    return candidates.global_candidates(nodes.filter("id % 20 = 0"), nodes.drop("_node"), linked)
 
 
 def chunk_contexts(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +158,7 @@ def chunk_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return fitted.select("block_id", "context_level", F.md5("context").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates, similar_names, semantic_dedup, contrast_partners, edge_candidates, chunk_contexts)}
+QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates, similar_names, semantic_dedup, contrast_partners, edge_candidates, global_candidates, chunk_contexts)}
 
 SQL = {
     "package_validation": _TREE

@@ -101,3 +101,14 @@ def test_close_vectors_connect_what_brute_force_does(spark):
         for r in got:
             label[r.name] = label[r.other] = min(label[r.name], label[r.other])
     assert pairs and label == expect
+
+
+def test_global_candidates(spark):
+    rows = [(1, "c", "s1", "alpha", "x", [1.0, 0.0]), (2, "c", "s2", "beta", "y", [0.99, 0.01]), (3, "d", "s3", "gamma", "z", [1.0, 0.0]), (4, "d", "s3", "gammb", "q", [0.0, 1.0]), (5, "d", "s3", "zzzz", "w", [0.0, 1.0]), (6, None, None, "null", None, None), (7, "e", "s7", "lone", "alone", None)]
+    nodes = spark.createDataFrame(rows, "id int, scope string, section string, name string, body string, vector array<double>")
+    edges = spark.createDataFrame([(5, 4), (None, 1)], "source int, target int")
+    got = {(r.left, r.right): (round(r.score, 3), r.reasons) for r in candidates.global_candidates(nodes, nodes, edges, 1, 0.8).collect()}
+    assert got == {(1, 2): (1.0, "semantic_similarity"), (3, 4): (0.0, "same_section_contrast,same_section_gap"), (3, 5): (0.0, "same_section_gap")}
+    assert {tuple(r)[:2] for r in candidates.global_candidates(nodes.filter("id = 1"), nodes, edges, 1, 0.8).collect()} == {(1, 2)}
+    assert candidates.global_candidates(nodes, nodes, spark.createDataFrame([(1, 2)], "source int, target int"), 1, 0.8).filter("left = 1").count() == 0
+    assert candidates.global_candidates(nodes.limit(0), nodes.limit(0), edges).count() == 0
