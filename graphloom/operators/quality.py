@@ -160,6 +160,22 @@ def quarantine(records: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame
     return judged.filter(~bad).drop("violations"), judged.filter(bad), summary.withColumn("ratio", ratio(F.col("rejected"), F.col("valid") + F.col("rejected"), 0.0))
 
 
+def quarantine_report(bad: DataFrame, total: DataFrame, path: str, item: list[str], request: str, seq: str, most: float = 0.2, fail: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rejections, summary) of quarantine()'s bad records out of total, both with the columns request and seq.
+
+    rejections: request, schema_path (`path[seq].check`), fingerprint (SHA-256 of the item as JSON), the
+    violations. summary, a row per request: valid, rejected, ratio, status and failed. A request fails
+    where more than `most` of its items are rejected, or any if `fail`; status is completed,
+    completed_with_rejections or failed.
+    """
+    rows = bad.select(request, F.concat(F.lit(f"{path}["), F.col(seq).cast("string"), F.lit("]."), F.get("violations", F.lit(0))).alias("schema_path"), F.sha2(F.to_json(F.struct(*item)), 256).alias("fingerprint"), "violations")
+    sizes = total.groupBy(request).agg(F.count(F.lit(1)).alias("_n")).join(bad.groupBy(request).agg(F.count(F.lit(1)).alias("rejected")), request, "left").fillna(0, ["rejected"])
+    share = ratio(F.col("rejected"), F.col("_n"), 0.0)
+    failed = (F.col("rejected") > 0) & (F.lit(fail) | (share > most))
+    status = F.when(failed, "failed").when(F.col("rejected") > 0, "completed_with_rejections").otherwise("completed")
+    return rows, sizes.select(request, (F.col("_n") - F.col("rejected")).alias("valid"), "rejected", share.alias("ratio"), status.alias("status"), failed.alias("failed"))
+
+
 def rollup(calls: DataFrame, dimensions: list[str], measures: dict[str, Column]) -> DataFrame:
     """Totals and totals by each dimension alone, in one pass: columns dimension, value and the measures."""
     sides = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions], F.struct(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value")))
