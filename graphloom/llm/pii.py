@@ -29,7 +29,8 @@ MODEL_PATH = Path(__file__).with_name("pii_model.json")
 
 # --- fixed values: titles, frequent Chinese family names, street words and extension words
 TITLES = {"frau", "herr", "herrn", "dr", "prof", "mr", "mrs", "ms", "miss", "mme", "mlle", "monsieur", "madame", "señor", "señora"}
-SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤柳温"
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤柳温傅施常康翁柯辛管祝左涂祁时舒耿牟卜路詹关苗凌费纪盛童欧甄项游阳裴席卫"
+COMPOUND = "欧阳 太史 上官 端木 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 闾丘 令狐 百里 呼延 东郭 南门 西门 第五".split()
 STREET_EN = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Close|Drive|Dr\.?|Court|Way|Place|Terrace|Crescent|Square|Boulevard|Blvd\.?|Row|Walk|Hill)"
 STREET_DE = r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer)"
 STREET_FR = r"(?:rue|avenue|av\.|impasse|boulevard|bd|allée|place|chemin|quai|cours|route|passage)"
@@ -65,8 +66,6 @@ _ZH_ROAD = re.compile(
     rf"(?:[{_HAN}]{{1,4}}?(?:省|自治区))?(?:[{_HAN}]{{1,4}}?(?:市|州|县|区|镇|乡)){{0,4}}[{_HAN}]{{1,6}}?(?:路|街|大道|巷|弄|胡同|道)\s?\d{{1,5}}\s?号(?:\s?\d{{1,4}}\s?(?:单元|栋|幢|号楼|座|层|楼|室)){{0,4}}"
 )
 _ZH_HINT = re.compile(r"(?:路|街|大道|巷|弄|胡同|道)\s?\d{1,5}\s?号")
-#: Longest address that is looked for, in letters.
-_REACH = 60
 
 
 class Model:
@@ -74,7 +73,8 @@ class Model:
 
     def __init__(self, weights: dict[str, float], background: set[str], first: set[str], last: set[str], given: set[str]) -> None:
         self.weights, self.background, self.first, self.last, self.given = weights, background, first, last, given
-        self.zh_name = re.compile(rf"[{SURNAMES}](?:[{''.join(sorted(given)) or '一'}]{{1,2}}|[{_HAN}]{{1,2}}(?=老师|先生|女士|同志|教授|医生|，电话|，身份证|陈述，|主持，|负责记录))")
+        # the weights that a Chinese name can gain from a neighbouring span, at most
+        self.most_link = max([0.0, *(v for k, v in weights.items() if ">" in k and k.split(">")[0] in TYPES)])
 
     def parts(self) -> tuple[dict[str, float], set[str], set[str], set[str], set[str]]:
         """What the model consists of: some 150 KB, to be sent to the executors."""
@@ -184,24 +184,32 @@ def _name_candidates(model: Model, text: str, out: list[Candidate]) -> None:
                 out.append((start, end, NAME, features))
 
 
-def _zh_candidates(model: Model, text: str, out: list[Candidate]) -> None:
-    for m in model.zh_name.finditer(text):
-        for n in range(2, len(m[0]) + 1):
-            start, end = m.start(), m.start() + n
-            given = sum(c in model.given for c in text[start + 1 : end])
-            following = text[end : end + 1]
-            more = "more" if following and following in model.given and n < 3 else "end"
+_ZH_NAME = re.compile(rf"(?=((?:{'|'.join(COMPOUND)})|[{SURNAMES}])[{_HAN}])")
+
+
+def _zh_candidates(model: Model, text: str, out: list[Candidate], every: bool) -> None:
+    """A family name, of one letter or two, with one or two Han letters after it, wherever it stands. The
+    trained given-name letters are features, no condition. Unless `every`, candidates that no segmentation
+    can choose, as their score with the best link stays below zero, are left out at once."""
+    known, weights = model.given, model.weights
+    for m in _ZH_NAME.finditer(text):
+        start = m.start()
+        for family in {1, len(m[1])}:
+            if family == 1 and m[1][0] not in SURNAMES:
+                continue
             before = text[max(0, start - 2) : start]
-            features = [
-                f"zh={n}{given}",
-                f"zh]{n}{given}{more}",
-                f"zh<{before[-1:] or '^'}",
-                f"zh<<{before}",
-                f"zh>{following or '$'}",
-                f"zh>>{text[end : end + 2]}",
-                f"zh<>{before[-1:]}_{following}",
-            ]
-            out.append((start, end, NAME, features))
+            for n in (family + 1, family + 2):
+                end = start + n
+                own = text[start + family : end]
+                if len(own) < n - family or not ("㐀" <= own[-1] <= "鿿"):
+                    break
+                given = sum(c in known for c in own)
+                following = text[end : end + 1]
+                more = "more" if following and following in known and n - family < 2 else "end"
+                size = n if family == 1 else f"{n}c"
+                features = [f"zh={size}{given}", f"zh]{size}{given}{more}", f"zh<{before[-1:] or '^'}", f"zh<<{before}", f"zh>{following or '$'}", f"zh>>{text[end : end + 2]}", f"zh<>{before[-1:]}_{following}"]
+                if every or sum(weights.get(f, 0.0) for f in features) + model.most_link > 0:
+                    out.append((start, end, NAME, features))
 
 
 def _number_candidates(text: str, out: list[Candidate]) -> None:
@@ -219,8 +227,9 @@ def _number_candidates(text: str, out: list[Candidate]) -> None:
                 out.append((start, end, kind, features))
 
 
-def candidates(model: Model, text: str) -> list[Candidate]:
-    """All candidate spans of text, each with its type and features."""
+def candidates(model: Model, text: str, every: bool = True) -> list[Candidate]:
+    """The candidate spans of text, each with its type and features: all of them, or without `every` at
+    least all that can be chosen."""
     out: list[Candidate] = []
     if _EMAIL_HINT.search(text):
         for m in _EMAIL.finditer(text):
@@ -236,12 +245,11 @@ def candidates(model: Model, text: str) -> list[Candidate]:
                 end = m.end() - len(parts[-1]) - 2
                 out.append((m.start(), end, ADDRESS, ["address=1", "address-short", f"address#{len(parts) - 1}", *_context("address", text, m.start(), end)]))
     if re.search(f"[{_HAN}]", text):
-        _zh_candidates(model, text, out)
+        _zh_candidates(model, text, out, every)
         if "号" in text:
             for hint in _ZH_HINT.finditer(text):
-                left = max(0, hint.start() - _REACH)
-                cut = max(text.rfind(c, left, hint.start()) for c in "。，、；：！？\n于往址住在到")
-                left = max(left, cut + 1)
+                # from the last mark or word that can't be in an address
+                left = max(text.rfind(c, 0, hint.start()) for c in "。，、；：！？\n于往址住在到") + 1
                 m = _ZH_ROAD.search(text, left)
                 if m and m.start() <= hint.start() < m.end():
                     out.append((m.start(), m.end(), ADDRESS, ["address=1", "address-zh", f"address<{_left(text, m.start())}"]))
@@ -264,7 +272,7 @@ NEAR = 5
 
 def decode(model: Model, text: str) -> list[tuple[int, int, str]]:
     """The best segmentation: (start, end, type) of its typed segments, in order."""
-    spans = sorted(candidates(model, text), key=lambda c: (c[1], c[0]))
+    spans = sorted(candidates(model, text, False), key=lambda c: (c[1], c[0]))
     if not spans:
         return []
     scores = [score(model, c[3]) for c in spans]

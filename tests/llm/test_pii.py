@@ -111,3 +111,13 @@ def test_agrees_with_narrow_rules_on_other_documents():
         gold, got = train_pii.silver(MODEL, t), set(pii.decode(MODEL, t))
         right, labelled, given = right + len(gold & got), labelled + len(gold), given + len(got)
     assert right >= 0.97 * labelled and right >= 0.97 * given
+
+
+def test_chinese_names_of_any_given_letters_and_compound_families():
+    m = pii.Model.load()
+    found = lambda t: [(t[a:b], k) for a, b, k in pii.decode(m, t)]
+    assert found("患者诸葛明，电话13812345678。")[0] == ("诸葛明", "name")
+    assert found("证人施耐庵陈述，事情如下。") == [("施耐庵", "name")]
+    assert found("黄芪和陈皮的温度、张力与高效液相。") == []
+    few = {c[:3] for c in pii.candidates(m, "证人施耐庵陈述", every=False)}
+    assert few <= {c[:3] for c in pii.candidates(m, "证人施耐庵陈述")} and (2, 5, "name") in few
