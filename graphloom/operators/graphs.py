@@ -208,6 +208,6 @@ def relabel(rows: DataFrame, mapping: DataFrame, columns: list[str], old: str =
     """rows with names replaced by the mapping (one row per old name); other names, and nulls, stay."""
     for c in columns:
         m = mapping.select(F.col(old).alias(c), F.col(new).alias("_new"))
-        hit = lookup_inner(rows, m, [c]).withColumn(c, F.col("_new"))
+        hit = lookup_inner(rows, m, [c], known_hot(rows, [c])).withColumn(c, F.col("_new"))
         rows = hit.select(*rows.columns).unionByName(rows.join(m, c, "left_anti").select(*rows.columns))
     return rows

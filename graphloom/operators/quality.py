@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import normal_name, title_key
-from graphloom.operators.lookup import lookup_inner
+from graphloom.operators.lookup import known_hot, lookup_inner
 
 
 def _blank(c: Column) -> Column:
@@ -57,7 +57,8 @@ def gate_edges(edges: DataFrame, names: DataFrame, seq: str, undirected: tuple[s
     """
     for end in ("source", "target"):
         known = names.select("scope", F.col("name").alias(end)).filter("name is not null").distinct().withColumn(f"_{end}", F.lit(True))
-        hit = lookup_inner(edges, known, ["scope", end])
+        # an end such as a node that a tenth of all edges points to is spread by salts
+        hit = lookup_inner(edges, known, ["scope", end], known_hot(edges, ["scope", end]))
         edges = hit.unionByName(edges.join(known, ["scope", end], "left_anti"), allowMissingColumns=True)
     unknown = F.col("_source").isNull() | F.col("_target").isNull()
     reason = (
