@@ -95,11 +95,25 @@ def similar_names(spark: SparkSession, folder: str) -> DataFrame:
     return candidates.similar_names(rows)
 
 
+def _merged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each package, by name, after similar nodes were merged."""
+    rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"]).select(F.col("package_id").alias("scope"), F.col("node_name").alias("name"), "summary")
+    named = read_table(spark, folder, "course_nodes").groupBy(F.col("package_id").alias("scope"), "node_id").agg(F.min_by("node_name", "record_id").alias("_name"))
+    edges = read_table(spark, folder, "course_edges").select(F.col("package_id").alias("scope"), "source", "target", "edge_type").distinct()
+    for end in ("source", "target"):
+        # an end of another package keeps its id
+        edges = edges.join(named.withColumnRenamed("node_id", end), ["scope", end], "left").withColumn(end, F.coalesce("_name", end)).drop("_name")
+    return candidates.merge_similar(rows, edges)
+
+
 def semantic_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of each package after similar ones were merged."""
-    rows = read_table(spark, folder, "course_nodes").dropDuplicates(["record_id"]).select(F.col("package_id").alias("scope"), F.col("node_name").alias("name"), "summary")
-    none = spark.createDataFrame([], "scope string, source string, target string")
-    return candidates.merge_similar(rows, none)[0].select("scope", "name")
+    return _merged(spark, folder)[0].select("scope", "name")
+
+
+def semantic_dedup_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between the merged nodes, loops and repeated ones left out."""
+    return _merged(spark, folder)[1].select("scope", "source", "target", "edge_type")
 
 
 def _queried(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +172,7 @@ def chunk_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return fitted.select("block_id", "context_level", F.md5("context").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates, similar_names, semantic_dedup, contrast_partners, edge_candidates, global_candidates, chunk_contexts)}
+QUERIES = {f.__name__: f for f in (extract_terms, extract_term_graph, parse_answers, package_blocks, package_validation, vault_notes, note_names, set_search, event_windows, exact_duplicates, similar_names, semantic_dedup, semantic_dedup_edges, contrast_partners, edge_candidates, global_candidates, chunk_contexts)}
 
 SQL = {
     "package_validation": _TREE

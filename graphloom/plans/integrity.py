@@ -103,6 +103,26 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(p3_orphans(spark, folder), ["ref_table", "ref_field", "period"])
 
 
+def _manifest_match(spark: SparkSession, folder: str, match: str) -> DataFrame:
+    """The manifest's references (package, outline entry) that fail under a match semantics of their own;
+    blank columns are null, so all null masks occur."""
+    contents, outlines = read_table(spark, folder, "package_contents"), read_table(spark, folder, "outlines")
+    keys = lambda a, b: [clean_key(F.col(a)).alias("pkg"), clean_key(F.col(b)).alias("key")]
+    refs = contents.select(F.col("content_key").alias("ref_id"), F.lit("outline_id").alias("ref_field"), F.col("created_at").alias("ref_time"), *keys("package_id", "outline_id"))
+    goal = outlines.select(*keys("package_id", "id"), F.col("deleted_at").isNull().alias("live"), "created_at")
+    return orphan_references(refs, goal, ["pkg", "key"], match).select("ref_id", "orphan_kind")
+
+
+def p3_partial(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest references whose non-null columns occur together in no living or earlier outline row."""
+    return _manifest_match(spark, folder, "partial")
+
+
+def p3_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest references that fail where all columns or none have to be given."""
+    return _manifest_match(spark, folder, "full")
+
+
 def _outline_tree(spark: SparkSession, folder: str, paths: bool) -> DataFrame:
     """The hierarchy of the current outline nodes (see current_outlines) by (pkg, nid)."""
     rows = read_table(spark, folder, "outlines").select(
@@ -143,6 +163,8 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_orphans,
     "p3_report": p3_report,
+    "p3_partial": p3_partial,
+    "p3_full": p3_full,
     "p5_found": p5_found,
     "p5_hierarchy": p5_hierarchy,
     "p5_descendants": p5_descendants,
@@ -203,7 +225,21 @@ status AS (
   FROM cur c LEFT JOIN ring r ON r.pkg = c.pkg AND r.nid = c.nid LEFT JOIN lost l ON l.pkg = c.pkg AND l.nid = c.nid)
 """
 
+_MANIFEST = f"""
+WITH r AS (SELECT DISTINCT content_key AS ref_id, created_at AS made, {_clean("package_id")} AS pkg, {_clean("outline_id")} AS k FROM package_contents),
+g AS (SELECT {_clean("package_id")} AS pkg, {_clean("id")} AS k, deleted_at IS NULL AS live, created_at AS born FROM outlines),
+g2 AS (SELECT pkg, k, bool_or(live) AS live, min(born) AS born FROM g WHERE pkg IS NOT NULL AND k IS NOT NULL GROUP BY 1, 2),
+gp AS (SELECT pkg, bool_or(live) AS live, min(born) AS born FROM g WHERE pkg IS NOT NULL GROUP BY 1),
+gk AS (SELECT k, bool_or(live) AS live, min(born) AS born FROM g WHERE k IS NOT NULL GROUP BY 1),
+m AS (SELECT r.*, CASE WHEN r.pkg IS NOT NULL AND r.k IS NOT NULL THEN 'both' WHEN r.pkg IS NOT NULL THEN 'pkg' WHEN r.k IS NOT NULL THEN 'key' END AS mask FROM r),
+j AS (SELECT m.*, coalesce(a.born, b.born, c.born) AS born, coalesce(a.live, b.live, c.live) AS live FROM m LEFT JOIN g2 a ON m.mask = 'both' AND a.pkg = m.pkg AND a.k = m.k
+  LEFT JOIN gp b ON m.mask = 'pkg' AND b.pkg = m.pkg LEFT JOIN gk c ON m.mask = 'key' AND c.k = m.k),
+f AS (SELECT ref_id, mask, CASE WHEN live IS NULL THEN 'missing' WHEN NOT live THEN 'deleted' WHEN born > made THEN 'late' END AS orphan_kind FROM j WHERE mask IS NOT NULL)
+"""
+
 SQL = {
+    "p3_partial": _MANIFEST + "SELECT ref_id, orphan_kind FROM f WHERE orphan_kind IS NOT NULL",
+    "p3_full": _MANIFEST + "SELECT ref_id, CASE WHEN mask <> 'both' THEN 'malformed' ELSE orphan_kind END AS orphan_kind FROM f WHERE mask <> 'both' OR orphan_kind IS NOT NULL",
     "p3_found": _ORPHANS + "SELECT * FROM found WHERE orphan_kind IS NOT NULL",
     "p3_report": _ORPHANS
     + """SELECT ref_table, ref_field, period, orphan_kind, count(*) AS n_references
